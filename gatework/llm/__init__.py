@@ -1,0 +1,8 @@
+"""Operators for preparing language-model training data at corpus scale."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel inside the task closure, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
