@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +48,54 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of text that a Python task handles at once.
+SLICE_BYTES = 16 << 20
+
+
+def slices(batches, column: str, most: int = SLICE_BYTES):
+    """Cuts an executor's stream of Arrow batches into pieces of about `most` bytes in `column`, and joins small ones.
+
+    A row is never cut, so only a text that is itself larger makes a larger piece.
+    """
+    held, size = [], 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        start = 0
+        while start < n:
+            room = most - size + (int(ends[start - 1]) if start else 0)
+            stop = max(int(np.searchsorted(ends, room, "right")), start + (not held))
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - (int(ends[start - 1]) if start else 0)
+                start = stop
+            if start < n or size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as the worker process, so later tasks find what earlier ones made."""
+    module = sys.modules.setdefault("gatework_worker_cache", types.ModuleType("gatework_worker_cache"))
+    return module.__dict__.setdefault(name, {})
+
+
+def ragged(starts, counts):
+    """The indexes of all runs start, start + 1, ... of the given counts, laid end to end."""
+    counts = np.asarray(counts, np.int64)
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(np.asarray(starts, np.int64) - (ends - counts), counts) + np.arange(total)
+
+
+def distinct(values):
+    """np.unique by sorting, which is much faster on integers."""
+    s = np.sort(values)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
