@@ -6,9 +6,11 @@ from gatework.llm import sql
 from gatework.llm.common import table
 from gatework.llm.exact_dedup import exact_dedup
 from gatework.llm.mixing import mix_report
+from gatework.llm.simhash import near_dedup
 from gatework.llm.token_output import token_output
 
 QUERIES = {
+    "op3_simhash_dedup": lambda spark, sf_dir: near_dedup(table(spark, sf_dir, "documents")),
     "op4_exact_dedup": lambda spark, sf_dir: exact_dedup(table(spark, sf_dir, "documents")),
     "op9_token_output": lambda spark, sf_dir: token_output(table(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mix_report(table(spark, sf_dir, "documents")),
