@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gatework.llm import sql
 from gatework.llm.common import table
+from gatework.llm.decontamination import contamination
 from gatework.llm.exact_dedup import exact_dedup
 from gatework.llm.mixing import mix_report
 from gatework.llm.simhash import near_dedup
@@ -12,11 +13,13 @@ from gatework.llm.token_output import token_output
 QUERIES = {
     "op3_simhash_dedup": lambda spark, sf_dir: near_dedup(table(spark, sf_dir, "documents")),
     "op4_exact_dedup": lambda spark, sf_dir: exact_dedup(table(spark, sf_dir, "documents")),
+    "op5_decontamination": lambda spark, sf_dir: contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row"),
     "op9_token_output": lambda spark, sf_dir: token_output(table(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mix_report(table(spark, sf_dir, "documents")),
 }
 
 ORACLES = {
     "op4_exact_dedup": sql.OP4,
+    "op5_decontamination": sql.OP5,
     "op10_mixing": sql.OP10,
 }
