@@ -8,6 +8,7 @@ writer commits the rows as Parquet, so a lost executor repeats its task and no h
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -22,8 +23,8 @@ from gatework.llm.simple8b import decode, encode
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Pieces whose ids a worker keeps.
-CACHED = 300_000
+#: Pieces whose ids a worker keeps from task to task; it holds up to twice as many meanwhile.
+CACHED = 200_000
 SEGMENTS = "shard int, segment int, start_in_shard long, doc_ids array<bigint>, lengths array<bigint>, data binary"
 #: The tokenizer's special tokens, matched before anything else.
 SPECIAL = r"<\|(startoftext|endoftext)\|>"
@@ -47,18 +48,55 @@ class Encoder:
     def __init__(self, json: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(json)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = piece.endswith("</w>")
         self.cache = worker_cache(f"tokens-{hashlib.sha256(json.encode()).hexdigest()}")
-
-    def piece_ids(self, pieces: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        new = [p for p in pieces if p not in self.cache]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(e.ids, np.uint32).tobytes()
-        return [self.cache[p] for p in pieces]
+        if not self.cache:
+            none = np.zeros(0, np.int64)
+            self.cache.update(pieces=pa.array([], pa.string()), starts=none, lengths=none, used=none, ids=np.zeros(0, np.uint32), time=0)
+
+    def one_word_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, end to end, and lengths of pieces that are one run of letters: encoded many at once, as a word's last id
+        is marked."""
+        joined = [" ".join(pieces[k : k + 100]) for k in range(0, len(pieces), 100)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for i in range(0, len(joined), 200) for e in self.tokenizer.encode_batch_fast(joined[i : i + 200], add_special_tokens=False)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer doesn't mark the ends of words")
+        return ids, np.diff(ends, prepend=0)
+
+    def one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [np.array(e.ids, np.uint32) for i in range(0, len(pieces), 10_000) for e in self.tokenizer.encode_batch_fast(pieces[i : i + 10_000], add_special_tokens=False)]
+        return np.concatenate(coded), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All known ids, and each piece's start and length in them. The latest CACHED pieces are kept for later calls."""
+        c = self.cache
+        c["time"] += 1
+        if len(c["pieces"]) > 2 * CACHED:
+            keep = np.sort(np.argsort(c["used"], kind="stable")[-CACHED:])
+            c["ids"] = c["ids"][ragged(c["starts"][keep], c["lengths"][keep])]
+            c["pieces"], c["lengths"], c["used"] = c["pieces"].take(pa.array(keep)), c["lengths"][keep], c["used"][keep]
+            c["starts"] = np.cumsum(c["lengths"]) - c["lengths"]
+        place = pc.index_in(pieces, value_set=c["pieces"])
+        new = pieces.filter(pc.is_null(place))
+        # U+0130 is the one letter that lower-casing takes apart
+        letters = pc.and_(pc.match_substring_regex(new, r"^\p{L}+$"), pc.invert(pc.match_substring(new, "\u0130")))
+        for some, coder in ((new.filter(letters), self.one_word_each), (new.filter(pc.invert(letters)), self.one_by_one)):
+            if len(some):
+                ids, lengths = coder(some.to_pylist())
+                c["pieces"] = pa.concat_arrays([c["pieces"], some])
+                c["starts"] = np.concatenate([c["starts"], len(c["ids"]) + np.cumsum(lengths) - lengths])
+                c["ids"], c["lengths"] = np.concatenate([c["ids"], ids]), np.concatenate([c["lengths"], lengths])
+                c["used"] = np.concatenate([c["used"], np.zeros(len(some), np.int64)])
+        if len(new):
+            place = pc.index_in(pieces, value_set=c["pieces"])
+        place = place.to_numpy(zero_copy_only=False).astype(np.int64)
+        c["used"][place] = c["time"]
+        return c["ids"], c["starts"][place], c["lengths"][place]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of each text."""
@@ -73,11 +111,7 @@ class Encoder:
         cut = pc.ascii_split_whitespace(pc.if_else(special, words.dictionary, cut))
         piece_counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         pieces = cut.flatten().dictionary_encode()
-        coded = self.piece_ids(pieces.dictionary.to_pylist())
-        ids = np.frombuffer(b"".join(coded), np.uint32)
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        starts = np.cumsum(lengths) - lengths
-
+        ids, starts, lengths = self.piece_ids(pieces.dictionary)
         in_words = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)  # pieces of distinct words, end to end
         of_piece = lengths[in_words]
         word_ids = ids[ragged(starts[in_words], of_piece)]  # ids of distinct words, end to end
@@ -102,7 +136,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 def write_segments(batches, json: str, end_id: int):
     encoder, start, segment = Encoder(json), 0, 0
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 6 << 20):
         ids, lengths = with_end(*encoder.ids(batch.column("text")), end_id)
         yield pa.RecordBatch.from_arrays(
             [
