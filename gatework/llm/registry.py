@@ -8,6 +8,7 @@ from gatework.llm.decontamination import contamination
 from gatework.llm.exact_dedup import exact_dedup
 from gatework.llm.language import language_report
 from gatework.llm.mixing import mix_report
+from gatework.llm.pii import pii_report
 from gatework.llm.quality import quality_report
 from gatework.llm.simhash import near_dedup
 from gatework.llm.token_output import token_output
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_exact_dedup": lambda spark, sf_dir: exact_dedup(table(spark, sf_dir, "documents")),
     "op5_decontamination": lambda spark, sf_dir: contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row"),
     "op6_language_id": lambda spark, sf_dir: language_report(table(spark, sf_dir, "documents")),
+    "op7_pii": lambda spark, sf_dir: pii_report(table(spark, sf_dir, "documents")),
     "op8_quality": lambda spark, sf_dir: quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_token_output": lambda spark, sf_dir: token_output(table(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mix_report(table(spark, sf_dir, "documents")),
