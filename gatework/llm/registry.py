@@ -6,6 +6,7 @@ from gatework.llm import sql
 from gatework.llm.common import table
 from gatework.llm.decontamination import contamination
 from gatework.llm.exact_dedup import exact_dedup
+from gatework.llm.html_text import extract
 from gatework.llm.language import language_report
 from gatework.llm.mixing import mix_report
 from gatework.llm.pii import pii_report
@@ -14,6 +15,7 @@ from gatework.llm.simhash import near_dedup
 from gatework.llm.token_output import token_output
 
 QUERIES = {
+    "op2_html_extraction": lambda spark, sf_dir: extract(table(spark, sf_dir, "pages")),
     "op3_simhash_dedup": lambda spark, sf_dir: near_dedup(table(spark, sf_dir, "documents")),
     "op4_exact_dedup": lambda spark, sf_dir: exact_dedup(table(spark, sf_dir, "documents")),
     "op5_decontamination": lambda spark, sf_dir: contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row"),
