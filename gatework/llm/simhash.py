@@ -27,6 +27,8 @@ WORDS, SEED, RADIUS = 4, 42, 4
 SHARD_ROWS = 4096
 #: Mean fingerprints of a shard by which the number of blocks is chosen.
 MEAN_ROWS = 64
+#: A fingerprint with more than one in so many rows is joined by broadcast.
+HEAVY = 1024
 #: Pairs of probe and tree node that are compared at once.
 FRONTIER = 1 << 18
 
@@ -245,18 +247,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def node_components(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(fp, root, component_id) of every fingerprint of prints (doc_id, fp); root is the component's smallest fingerprint."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+    """(fp, n, root, component_id) of every fingerprint of prints (doc_id, fp); n is its number of rows, root the
+    component's smallest fingerprint."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "nodes")
     found = components(links(nodes.select("fp"), nodes.count(), radius, shard_rows))
     linked = found.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "least_id")
     smallest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_linked = linked.select("fp", "root").join(smallest, "root")
     alone = F.col("root").isNull()
     return nodes.join(of_linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least_id")).otherwise(F.col("component_id")).alias("component_id")
+        "fp", "n", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
+def attached(prints: DataFrame, of_node: DataFrame) -> DataFrame:
+    """prints joined with its nodes. Those with over 1/HEAVY of all rows, fewer than HEAVY, are broadcast, so that no task
+    gets all rows of a large group of copies."""
+    of_node = written(of_node, "node-components")
+    total = of_node.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") > total / HEAVY
+    joined = prints.join(F.broadcast(of_node.where(heavy)), "fp")
+    light = prints.join(F.broadcast(of_node.where(heavy).select("fp")), "fp", "left_anti").join(of_node.where(~heavy), "fp")
+    return joined.unionByName(light)
+
+
 def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -266,7 +280,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, shard_
     """
     prints = written(fingerprints(docs, words), "fingerprints")
     of_node = node_components(prints, radius, shard_rows)
-    return prints.join(of_node, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return attached(prints, of_node).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -274,7 +288,7 @@ def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> D
     repeated rows one stays."""
     numbered = written(docs.withColumn("kept_row_", F.monotonically_increasing_id()), "numbered")  # fixes the row numbers
     prints = written(fingerprints(numbered, words, ("kept_row_", "doc_id")), "fingerprints")
-    of_node = node_components(prints, radius).select("fp", "root")
+    of_node = node_components(prints, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "kept_row_"))
-    kept = prints.join(of_node, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.kept_row_").alias("kept_row_"))
+    kept = attached(prints, of_node).groupBy("root").agg(first.alias("first")).select(F.col("first.kept_row_").alias("kept_row_"))
     return numbered.join(kept, "kept_row_", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
