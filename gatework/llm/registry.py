@@ -8,6 +8,7 @@ from gatework.llm.decontamination import contamination
 from gatework.llm.exact_dedup import exact_dedup
 from gatework.llm.html_text import extract
 from gatework.llm.language import language_report
+from gatework.llm.language_model import score_report
 from gatework.llm.mixing import mix_report
 from gatework.llm.pii import pii_report
 from gatework.llm.quality import quality_report
@@ -15,6 +16,7 @@ from gatework.llm.simhash import near_dedup
 from gatework.llm.token_output import token_output
 
 QUERIES = {
+    "op1_lm_scoring": lambda spark, sf_dir: score_report(table(spark, sf_dir, "documents")),
     "op2_html_extraction": lambda spark, sf_dir: extract(table(spark, sf_dir, "pages")),
     "op3_simhash_dedup": lambda spark, sf_dir: near_dedup(table(spark, sf_dir, "documents")),
     "op4_exact_dedup": lambda spark, sf_dir: exact_dedup(table(spark, sf_dir, "documents")),
