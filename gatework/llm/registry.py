@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from gatework.llm import sql
 from gatework.llm.common import table
 from gatework.llm.decontamination import contamination
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality": lambda spark, sf_dir: quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_token_output": lambda spark, sf_dir: token_output(table(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mix_report(table(spark, sf_dir, "documents")),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
