@@ -37,7 +37,7 @@ RECORDS = f"""
 SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_orderkey AS BIGINT) AS ord, CAST(year(o_orderdate) AS STRING) AS year,
   'E' || CAST(o_custkey AS STRING) AS establishment_id,
   CASE WHEN o_custkey % 50 = 0 THEN ' ' ELSE CAST(CAST((o_custkey - o_custkey % 3) / 3 AS BIGINT) AS STRING) END AS ein,
-  {nth(NAMES, "o_custkey")} AS establishment_name, {nth(COMPANIES, "o_custkey % 200")} AS company_name,
+  {nth(NAMES, "o_custkey")} AS establishment_name, CASE WHEN o_custkey % 10 = 3 AND o_orderkey % 23 > 9 THEN 'Solo ' || CAST(o_custkey AS STRING) ELSE {nth(COMPANIES, "o_custkey % 200")} END AS company_name,
   CAST(o_custkey % 900 AS STRING) || ' Main St' AS street_address, {nth("Norton,Denver,Salem,,Austin", "o_custkey")} AS city, {nth("CA,TX,ny,WA,,OR,FL", "o_custkey")} AS state,
   CASE WHEN o_custkey % 4 = 0 THEN '' ELSE lpad(CAST(o_custkey % 99999 AS STRING), 5, '0') END AS zip_code,
   CASE o_orderkey % 23 WHEN 0 THEN '999999' WHEN 1 THEN '000000' WHEN 2 THEN {nth(SECTORS, "o_custkey")} || '0000' WHEN 3 THEN {nth(SECTORS, "o_custkey")} WHEN 4 THEN substring({full_code("o_custkey")}, 1, 4) || '00'
