@@ -54,10 +54,11 @@ class Tokens:
         coded = flat.filter(pa.array(full)).dictionary_encode()
         n = len(texts)
         self.ends = words + np.arange(n + 1)
-        self.stream = np.zeros(int(self.ends[-1]), np.int64)
+        self.stream = np.zeros(int(self.ends[-1]), np.int32)
         keep = np.ones(len(self.stream), bool)
         keep[self.ends[1:] - 1] = False
-        self.stream[keep] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        self.stream[keep] = coded.indices.to_numpy(zero_copy_only=False) + 1
+        del split, flat, keep, full, before
         digest = xxhash.xxh64_intdigest
         self.hashes = np.concatenate([[END_HASH], np.fromiter((digest(w.encode()) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))])
 
@@ -71,13 +72,18 @@ class Block:
         self.tokens = t = Tokens(texts)
         n = len(t.hashes)
         train = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(t.ends))
-        context = np.concatenate([[0], t.stream[:-1]])  # a text begins after an end
-        key = ((context * n + t.stream) << 1) | train
+        key = np.zeros(len(t.stream), np.int64)
+        key[1:] = t.stream[:-1]  # a text begins after an end
+        key *= n
+        key += t.stream
+        key <<= 1
+        key |= train
         key.sort()
-        pair = key >> 1
+        train_only, pair = (key & 1).astype(np.uint32), np.right_shift(key, 1, out=key)
         head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        counts = np.add.reduceat(key & 1, head)
+        counts = np.add.reduceat(train_only, head)
         pair = pair[head]
+        del key, train_only, head
         mixed = t.hashes[pair // n] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + t.hashes[pair % n]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
@@ -85,7 +91,7 @@ class Block:
         self.pairs, self.pair_hashes, self.pair_counts = pair[order], mixed[order], counts[order]
         order = np.argsort(t.hashes, kind="stable")
         self.words, self.word_hashes = order, t.hashes[order]
-        self.word_counts = np.bincount(t.stream[train], minlength=n)[order]
+        self.word_counts = np.bincount(t.stream[train], minlength=n)[order].astype(np.uint32)
 
     def kinds(self):
         yield 0, self.word_hashes, self.word_counts
@@ -157,7 +163,7 @@ class Automaton:
         """Log-probabilities of the words at the states, and the states after them."""
         if not len(self.arcs):
             return self.failure[state] + self.root[word], word
-        key = state * self.n + word
+        key = state.astype(np.int64) * self.n + word
         at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
         return np.where(self.arcs[at] == key, self.weights[at], self.failure[state] + self.root[word]), word
 
@@ -187,6 +193,7 @@ def scored(rows: pa.Table, answers: pa.Table, n_train: int, n_distinct: int, mu:
             raise ValueError("a block's answers don't fit its questions")
     model = Automaton(block, found[0], found[1], n_train, n_distinct, mu)
     t = block.tokens
+    del block, found
     text = np.repeat(np.arange(rows.num_rows), np.diff(t.ends))
     return pa.table(
         {
@@ -215,7 +222,7 @@ def score_texts(docs: DataFrame, held: Column, mu: float = MU, blocks: int | Non
     Null and empty texts have the end only. Without training rows all counts are 0. Repeated rows count and are scored
     each, an empty table gives an empty result, and extra columns are ignored.
     """
-    blocks = blocks or max(docs.rdd.getNumPartitions(), 1)
+    blocks = blocks or max(2 * docs.rdd.getNumPartitions(), 1)  # of some 8 MB of Parquet each
     bits = max(blocks - 1, 1).bit_length()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
     stats = slim.where(~F.col("held_out")).select("text").mapInArrow(distinct_batches, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 0")
