@@ -15,7 +15,7 @@ def pending(targets: DataFrame, done: DataFrame, retry: tuple[str, ...] = (), st
     return targets.join(kept.select("id").distinct(), "id", "left_anti")
 
 
-def run_incremental(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id", files: int = 100) -> StreamingQuery:
+def run_incremental(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id", files: int = 100, names: str = "*.parquet") -> StreamingQuery:
     """Works off all new Parquet files under `source` and ends. A batch's rows go to a folder of its number, replaced if the
     batch is repeated, so a restart after a failure neither loses nor doubles any; of a key that comes again in one batch,
     or that an earlier batch has, the first result stays."""
@@ -31,7 +31,7 @@ def run_incremental(spark: SparkSession, source: str, schema: str, work: Callabl
                 raise
         fresh.write.mode("overwrite").parquet(path)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", names).parquet(source)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
