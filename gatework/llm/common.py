@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -81,6 +82,28 @@ def slices(batches, column: str, most: int = SLICE_BYTES):
         yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
 
 
+#: Rows and bytes of an Arrow batch, so that a batch of long texts fits in an executor beside the JVM.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+
+def over_texts(df: DataFrame, fn, schema) -> DataFrame:
+    """df.mapInArrow for wide rows: small batches, and freed memory given back to the machine as the work goes on."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        for out in fn(batches):
+            yield out
+            del out
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the worker process, so later tasks find what earlier ones made."""
     module = sys.modules.setdefault("gatework_worker_cache", types.ModuleType("gatework_worker_cache"))

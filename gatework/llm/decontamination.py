@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatework.llm.common import ragged, slices, written
+from gatework.llm.common import over_texts, ragged, slices, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -107,7 +107,7 @@ def numbered(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndar
 
 def count_batches(batches, vocabulary: pa.Array):
     total = np.zeros(len(vocabulary), np.int64)
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", 2 << 20):
         ids, _ = numbered(batch.column("text"), vocabulary)
         total += np.bincount(ids[ids >= 0], minlength=len(total))
     seen = np.flatnonzero(total)
@@ -115,7 +115,7 @@ def count_batches(batches, vocabulary: pa.Array):
 
 
 def span_batches(batches, index: Index):
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", 2 << 20):
         ids, offsets = numbered(batch.column("text"), index.vocabulary)
         n_words = np.diff(offsets)
         doc_of = np.repeat(np.arange(len(n_words)), n_words)
@@ -162,31 +162,34 @@ def report_batches(batches):
         )
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs (row, doc_id, text): SPANS, the word spans of all window occurrences and the items they are of."""
+def indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int):
+    """An index, sent to the executors, of each block of the benchmark, with rarity counted over all docs (text)."""
     context = docs.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    passes = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().toArrow()  # block_bytes or so
         words = folded_words(block.column("text").combine_chunks().cast(pa.string())).to_pylist() if block.num_rows else []
         index = Index(block.column("item_id").to_pylist(), words, window)
         vocabulary = context.broadcast(index.vocabulary)
-        counted = docs.select("text").mapInArrow(lambda it, v=vocabulary: count_batches(it, v.value), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        counted = over_texts(docs.select("text"), lambda it, v=vocabulary: count_batches(it, v.value), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(len(index.vocabulary), np.int64)
         counts[counted.column("word").to_numpy()] = counted.column("n").to_numpy()
         index.order(counts)
-        sent = context.broadcast(index)
-        passes.append(docs.mapInArrow(lambda it, s=sent: span_batches(it, s.value), SPANS))
+        yield context.broadcast(index)
+
+
+def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of docs (row, doc_id, text): SPANS, the word spans of all window occurrences and the items they are of."""
+    passes = [over_texts(docs, lambda it, s=sent: span_batches(it, s.value), SPANS) for sent in indexes(docs, benchmark, window, block_bytes)]
     if len(passes) == 1:
         return passes[0]
     together = passes[0]
     for p in passes[1:]:
         together = together.unionByName(p)
-    lists = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")}
-    return together.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists.values()).select("row", "doc_id", "n_words", "starts", "ends", "items")
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]  # a row a block and document
+    return together.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists).select("row", "doc_id", "n_words", "starts", "ends", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -197,12 +200,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     documents give an empty result. Extra columns are ignored.
     """
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    if (benchmark.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0) > block_bytes:
+        slim = written(slim, "numbered")  # several passes are put together by row number
     return spans(slim, benchmark, window, block_bytes).mapInArrow(report_batches, "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows, decided row by row in the order of docs' own columns."""
-    numbered_docs = written(docs.withColumn("clean_row_", F.monotonically_increasing_id()), "numbered")
-    slim = numbered_docs.select(F.col("clean_row_").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    found = spans(slim, benchmark).where(F.size("starts") > 0).select(F.col("row").alias("clean_row_"))
-    return numbered_docs.join(found, "clean_row_", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def clean_batches(batches, index: Index):
+    for batch in slices(batches, "text", 2 << 20):
+        ids, offsets = numbered(batch.column("text"), index.vocabulary)
+        n_words = np.diff(offsets)
+        doc_of = np.repeat(np.arange(len(n_words)), n_words)
+        first, _ = index.matches(ids, doc_of, offsets[:-1], offsets[1:])
+        clean = np.ones(len(n_words), bool)
+        clean[doc_of[first]] = False
+        yield batch.filter(pa.array(clean))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the contaminated rows: one pass for each block of the benchmark, and no shuffle."""
+    out = docs
+    for sent in indexes(docs, benchmark, window, block_bytes):
+        out = over_texts(out, lambda it, s=sent: clean_batches(it, s.value), docs.schema)
+    return out

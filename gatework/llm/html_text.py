@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatework.llm.common import slices
+from gatework.llm.common import over_texts, slices
 
 #: Share of the spread of scores that a path must reach; shares of content text that make an element the article's.
 THRESHOLD, MOST, NEARLY_ALL = 0.25, 0.5, 0.9
@@ -264,4 +264,4 @@ def extract(pages: DataFrame) -> DataFrame:
     comment takes the rest of the page, unclosed paragraphs end where the next block begins. Repeated rows each appear,
     an empty table gives an empty result, and extra columns are ignored.
     """
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(page_batches, "page_id long, url string, text string, n_chars long")
+    return over_texts(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"), page_batches, "page_id long, url string, text string, n_chars long")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatework.llm.common import ragged, slices
+from gatework.llm.common import over_texts, ragged, slices
 
 #: Training documents of a language at most (in expectation), table size, n-gram lengths in bytes, smoothing.
 PER_LANGUAGE, BUCKETS, ORDERS, ALPHA = 2000, 1 << 15, (2, 3, 4), 0.5
@@ -88,7 +88,7 @@ def count_batches(batches, languages: list[str]):
     width = BUCKETS + len(NAMES)
     total = np.zeros(len(languages) * width, np.int64)
     number = {name: i for i, name in enumerate(languages)}
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", 2 << 20):
         words = Words(batch.column("text"))
         language = np.array([number[x] for x in batch.column("lang").to_pylist()])
         of_word = np.repeat(language, np.diff(words.ends))
@@ -171,7 +171,7 @@ def lattice(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def predict_batches(batches, model: Model, with_spans: bool):
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", 2 << 20):
         words = Words(batch.column("text"))
         n = batch.num_rows
         letters = words.letters[words.which]
@@ -208,7 +208,7 @@ def trained(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE) ->
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
     draw = F.crc32(F.concat(F.lit("sample"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / F.lit(float(1 << 32))
     sample = known.where(draw < F.element_at(share, F.col("lang"))).select("text", "lang")
-    counted = sample.mapInArrow(lambda it: count_batches(it, languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = over_texts(sample, lambda it: count_batches(it, languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(languages) * (BUCKETS + len(NAMES)), np.int64)
     counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     return Model(languages, counts.reshape(len(languages), -1))
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",),
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size for each language
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "lang_pred string, score double"] + ["spans array<struct<first_word:int,words:int,lang:string>>"] * with_spans)
-    return docs.select(*keys, "text").mapInArrow(lambda it: predict_batches(it, sent.value, with_spans), schema)
+    return over_texts(docs.select(*keys, "text"), lambda it: predict_batches(it, sent.value, with_spans), schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -234,10 +234,14 @@ def language_report(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model, with_spans=False).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def keep_batches(batches, model: Model):
+    for batch in slices(batches, "text", 2 << 20):
+        found = next(predict_batches([pa.RecordBatch.from_arrays([batch.column("text")], ["text"])], model, False))
+        yield batch.filter(pc.not_equal(found.column("lang_pred"), "und"))
+
+
 def with_language(docs: DataFrame) -> DataFrame:
     """docs without the rows that have no language (`und`): null texts and texts without letters."""
     model = trained(docs, ~held_out(F.col("doc_id"), 4, 2))
-    columns = docs.columns
-    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"), F.col("text"))
-    found = identify(slim, model, ("row_",), with_spans=False).where("lang_pred <> 'und'")
-    return found.select(*[F.col(f"row_.`{c}`").alias(c) for c in columns])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return over_texts(docs, lambda it: keep_batches(it, sent.value), docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatework.llm.common import slices
+from gatework.llm.common import over_texts, slices
 from gatework.llm.language import held_out
 
 MU = 100.0
@@ -225,7 +225,7 @@ def score_texts(docs: DataFrame, held: Column, mu: float = MU, blocks: int | Non
     blocks = blocks or max(2 * docs.rdd.getNumPartitions(), 1)  # of some 8 MB of Parquet each
     bits = max(blocks - 1, 1).bit_length()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
-    stats = slim.where(~F.col("held_out")).select("text").mapInArrow(distinct_batches, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 0")
+    stats = over_texts(slim.where(~F.col("held_out")).select("text"), distinct_batches, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 0")
     n_train, n_distinct = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
     questions = dealt.groupBy("block").applyInArrow(lambda rows: asked(rows, bits), ASKED)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatework.llm.common import slices
+from gatework.llm.common import over_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Islands that are learned from at most, the share of documents that they come from at most, passes, tokens of a segment.
@@ -307,7 +307,7 @@ def trained(docs: DataFrame) -> Field:
     n = docs.count()
     draw = F.crc32(F.concat(F.lit("pii"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sample = docs.select(draw.alias("draw"), "text").where(F.col("text").isNotNull() & (F.col("draw") < TRAIN_DOCS / max(n, 1) * (1 << 32)))
-    found = sample.mapInArrow(island_batches, "draw long, place int, text string, a int, b int, gold array<int>")
+    found = over_texts(sample, island_batches, "draw long, place int, text string, a int, b int, gold array<int>")
     rows = found.where(F.col("b") - F.col("a") <= 400).orderBy("draw", "place", "text").limit(ISLANDS).collect()
     examples = []
     for text, spans in made_up():
@@ -347,4 +347,4 @@ def pii_report(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or trained(docs)
     sent = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred weights
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: report_batches(it, sent.value), schema)
+    return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda it: report_batches(it, sent.value), schema)

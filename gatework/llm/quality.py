@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatework.llm.common import slices
+from gatework.llm.common import over_texts, slices
 from gatework.llm.language import held_out
 
 #: Labelled rows that are learned from (in expectation), passes over them, hash buckets, and FTRL's parameters.
@@ -62,7 +62,7 @@ def features(texts: pa.Array):
 
 
 def feature_batches(batches):
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", 2 << 20):
         text, bucket, value = features(batch.column("text"))
         ends = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
@@ -100,7 +100,7 @@ def trained(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAM
     draw = F.crc32(F.concat(F.lit("draw"), F.col("doc_id").cast("string")).cast("binary"))
     drawn = labelled.withColumn("draw", draw).where(F.col("draw") < sample / max(size, 1) * (1 << 32))
     rows = docs.select("doc_id", "text").join(drawn, "doc_id").select(F.col("draw"), F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
-    sparse = rows.mapInArrow(feature_batches, "draw long, doc_id long, label double, bucket array<int>, value array<float>")
+    sparse = over_texts(rows, feature_batches, "draw long, doc_id long, label double, bucket array<int>, value array<float>")
     one = sparse.repartition(1).sortWithinPartitions("draw", "doc_id", "label")  # `sample` rows, whatever the input's size
     found = one.mapInArrow(learn_batches, "bucket long, weight double").toArrow()
     out = np.zeros(BUCKETS + 1)
@@ -109,7 +109,7 @@ def trained(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAM
 
 
 def score_batches(batches, weights: np.ndarray):
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", 2 << 20):
         text, bucket, value = features(batch.column("text"))
         dot = np.bincount(text, weights[bucket] * value, batch.num_rows) + weights[BUCKETS]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))], ["doc_id", "score"])
@@ -118,7 +118,7 @@ def score_batches(batches, weights: np.ndarray):
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, score (0 to 1) of every row. Null and empty texts have the bias alone."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: score_batches(it, sent.value), "doc_id long, score double")
+    return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda it: score_batches(it, sent.value), "doc_id long, score double")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

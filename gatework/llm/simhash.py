@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gatework.llm.common import distinct, ragged, slices, written
+from gatework.llm.common import distinct, over_texts, ragged, slices, written
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of one tree.
@@ -61,7 +62,7 @@ def fingerprint_batches(batches, words: int):
 def fingerprints(docs: DataFrame, words: int = WORDS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The long columns `keys` and fp, the fingerprint as a signed long: one row per row of docs."""
     slim = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text"))
-    return slim.mapInArrow(lambda batches: fingerprint_batches(batches, words), ", ".join(f"{k} long" for k in [*keys, "fp"]))
+    return over_texts(slim, lambda batches: fingerprint_batches(batches, words), ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -285,10 +286,13 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, shard_
 
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of the smallest id, a null id only where there is no other. Of
-    repeated rows one stays."""
-    numbered = written(docs.withColumn("kept_row_", F.monotonically_increasing_id()), "numbered")  # fixes the row numbers
-    prints = written(fingerprints(numbered, words, ("kept_row_", "doc_id")), "fingerprints")
+    repeated rows one stays. Rows are found again by id and a hash of id and text."""
+    keyed = docs.withColumn("dedup_key_", F.xxhash64("doc_id", "text"))
+    prints = written(fingerprints(keyed, words, ("dedup_key_", "doc_id")), "fingerprints")
     of_node = node_components(prints, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "kept_row_"))
-    kept = attached(prints, of_node).groupBy("root").agg(first.alias("first")).select(F.col("first.kept_row_").alias("kept_row_"))
-    return numbered.join(kept, "kept_row_", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "dedup_key_"))
+    kept = attached(prints, of_node).groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("dedup_id_"), F.col("first.dedup_key_").alias("dedup_kept_"))
+    same = (F.col("dedup_key_") == F.col("dedup_kept_")) & ((F.col("doc_id").cast("long") == F.col("dedup_id_")) | (F.col("doc_id").isNull() & F.col("dedup_id_").isNull()))
+    once = F.row_number().over(Window.partitionBy("dedup_key_", "dedup_id_").orderBy("dedup_key_"))
+    found = keyed.join(kept, same).withColumn("dedup_nth_", once).where("dedup_nth_ = 1")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])

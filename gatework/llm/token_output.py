@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gatework.llm.common import fresh_path, ragged, slices, worker_cache
+from gatework.llm.common import fresh_path, over_texts, ragged, slices, worker_cache
 from gatework.llm.simple8b import decode, encode
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces whose ids a worker keeps from task to task; it holds up to twice as many meanwhile.
-CACHED = 200_000
+CACHED = 150_000
 SEGMENTS = "shard int, segment int, start_in_shard long, doc_ids array<bigint>, lengths array<bigint>, data binary"
 #: The tokenizer's special tokens, matched before anything else.
 SPECIAL = r"<\|(startoftext|endoftext)\|>"
@@ -136,7 +136,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 def write_segments(batches, json: str, end_id: int):
     encoder, start, segment = Encoder(json), 0, 0
-    for batch in slices(batches, "text", 6 << 20):
+    for batch in slices(batches, "text", 3 << 20):
         ids, lengths = with_end(*encoder.ids(batch.column("text")), end_id)
         yield pa.RecordBatch.from_arrays(
             [
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     dealt = slim.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "text", F.spark_partition_id().alias("shard"))
     json = spark.sparkContext.broadcast(tokenizer_json(tokenizer))  # a file of fixed size
-    dealt.mapInArrow(lambda batches: write_segments(batches, json.value, end_id), SEGMENTS).write.parquet(path)
+    over_texts(dealt, lambda batches: write_segments(batches, json.value, end_id), SEGMENTS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +188,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     shards = segments.groupBy("shard").agg(F.max(F.col("start_in_shard") + F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("before"))
-    docs = segments.mapInArrow(read_segments, "shard int, start long, doc_id long, n_tokens long, ids_crc32 long")
+    docs = over_texts(segments, read_segments, "shard int, start long, doc_id long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(shards), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
