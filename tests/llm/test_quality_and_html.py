@@ -1,0 +1,59 @@
+import numpy as np
+
+from gatework.llm.html_text import extract, main_text
+from gatework.llm.quality import features, quality_report
+from tests.llm.helpers import ODD, frame, remainder
+
+
+def test_held_out_accuracy(spark):
+    r = np.random.default_rng(0)
+    words = ["word%d" % i for i in range(300)]
+    rows = [(i, " ".join(r.choice(words, 40)) if i % 3 else " ".join(w.upper() + "!!" for w in r.choice(words, 40)), "en", "a", 1) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(240)] + [(None, 1, 0), (500, None, 0), (1, 7, 0)], "doc_id long, quality int, toxic int")
+    got = quality_report(frame(spark, rows), labels).collect()
+    held = [g for g in got if g.held_out]
+    assert held and sum(g.predicted == int(g.doc_id % 3 > 0) for g in held) >= 0.97 * len(held)
+    assert all(g.held_out == (remainder(g.doc_id, 3) == 1) and g.predicted == int(g.score >= 0.5) and 0 <= g.score <= 1 for g in got)
+
+
+def test_odd_rows_and_no_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality_report(frame(spark), none).collect()
+    assert len(got) == len(ODD) and {g.score for g in got} == {0.5}
+    assert quality_report(frame(spark, []), none).count() == 0
+
+
+def test_features_have_unit_length():
+    import pyarrow as pa
+
+    text, _, value = features(pa.array(["A small TEXT, a small text.", None, "", "x"]))
+    assert np.allclose(np.bincount(text, value * value, 4), [1, 0, 0, 1])
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body class="home">
+<header><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies.</div>
+<article><h1>A&nbsp;title &amp; more</h1><p><b>First  para,
+with a break<br>and more.<p>Second &#233; &eacute; para.</p><aside>See also</aside><form><label>Mail</label><input></form><ul><li>one</li><li>two</li></ul>
+<section class="comments"><h2>Comments</h2><p>Nice, really nice. Thanks!</p></section></article>
+<div class="sidebar">Side</div><footer>&copy; us</footer></body></html>"""
+
+
+def test_main_text():
+    assert main_text(PAGE) == "A title & more\nFirst para, with a break and more.\nSecond é é para.\none\ntwo"
+
+
+def test_pages_without_an_article():
+    body = "".join(f"<p>This is paragraph {i}, with many words, and some marks; it goes on.</p>" for i in range(5))
+    page = f'<body><div class="menu"><a>x</a></div><div id="main-text"><h2>Head</h2>{body}<p>Short.</p></div><div class="sidebar"><p>Ads, ads, ads.</p></div></body>'
+    got = main_text(page).split("\n")
+    assert got[0] == "Head" and got[-1] == "Short." and len(got) == 7
+
+
+def test_broken_pages(spark):
+    assert main_text("") == "" and main_text("just < text") == "just < text" and main_text("<p>a<!-- x") == "a" and main_text("<script>x") == "" and main_text("<p>a<script>b") == "a"
+    main_text("<a href='" * 50_000)  # in linear time
+    main_text("<!--" * 50_000 + "<div>" * 2000)
+    rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (None, "v", "", 3)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert len(got) == 4 and all(g.n_chars == len(g.text) for g in got)
+    assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
