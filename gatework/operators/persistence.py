@@ -99,7 +99,10 @@ def chronic_downshifters(s: DataFrame) -> DataFrame:
 
 
 def persistence_summary(df: DataFrame, s: DataFrame, years: int = 4) -> DataFrame:
-    """(metric, value) over records, shifts, repeat reporters and establishments."""
+    """(metric, value) over records, shifts, repeat reporters and establishments. Both inputs are read several times, so
+    their needed columns are kept while the query runs."""
+    df = df.select("ein", "year", "establishment_id", "error_type", "company_name", "establishment_name", "state").persist()
+    s = s.select("ein", "establishment_id", "company_name", "state", "year_from", "year_to", "shift_type", "direction", "employees", "dart_delta").persist()
     reporters = placeholder_reporters(df).select("ein")
     nines = df.where("error_type = 'PLACEHOLDER_999999'")
     est = df.where("establishment_id is not null").groupBy("establishment_id").agg(F.count_distinct("year").alias("y"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatework.config import DEFAULT, Config
@@ -41,10 +41,15 @@ def scored(records: DataFrame, suggestions: DataFrame, rates: DataFrame, cfg: Co
     )
 
 
+def money(c: Column) -> Column:
+    """An exact sum to four decimals, so that reruns agree."""
+    return F.coalesce(F.sum(c.cast("decimal(20,4)")).cast("double"), F.lit(0.0))
+
+
 def deltas(df: DataFrame) -> DataFrame:
     """A row for each pair of sectors, largest loss first."""
     first = [F.min(c).alias(c) for c in ("reported_desc", "suggested_desc", "reported_rate", "suggested_rate", "rate_delta", "direction")]  # one value a pair
-    g = df.groupBy("reported_sector", "suggested_sector").agg(*first, F.count("id").alias("n_establishments"), F.sum("employees").alias("total_employees"), F.coalesce(F.sum("estimated_annual_loss"), F.lit(0.0)).alias("total_annual_loss"))
+    g = df.groupBy("reported_sector", "suggested_sector").agg(*first, F.count("id").alias("n_establishments"), F.sum("employees").alias("total_employees"), money(F.col("estimated_annual_loss")).alias("total_annual_loss"))
     return g.withColumn("avg_loss_per_establishment", F.col("total_annual_loss") / F.col("n_establishments")).orderBy(F.col("total_annual_loss").desc(), "reported_sector", "suggested_sector")
 
 
@@ -60,8 +65,8 @@ def premium_summary(df: DataFrame, total_records: int, state: tuple[str, ...] =
     a = df.agg(
         F.count("*").cast("double").alias("total_misclassifications_with_suggestion"), z(F.sum(F.col("cross_sector").cast("double"))).alias("cross_sector_misclassifications"),
         z(F.sum((~F.col("cross_sector")).cast("double"))).alias("within_sector_misclassifications"), z(F.sum(mine.cast("double"))).alias("state_establishments_affected"),
-        z(F.sum(loss)).alias("total_annual_premium_gap_all_states"), z(F.sum(F.when(mine, loss))).alias("total_annual_premium_gap_state"),
-        z(F.avg(loss)).alias("avg_premium_gap_per_establishment"), z(F.max(loss)).alias("max_individual_premium_gap"),
+        money(loss).alias("total_annual_premium_gap_all_states"), money(F.when(mine, loss)).alias("total_annual_premium_gap_state"),
+        (money(loss) / F.greatest(F.count(loss), F.lit(1))).alias("avg_premium_gap_per_establishment"), z(F.max(loss)).alias("max_individual_premium_gap"),
         z(F.avg(F.when(F.col("cross_sector"), (F.coalesce(F.col("rate_delta"), F.lit(0.0)) > 0).cast("double"))) * 100).alias("pct_underpaying"),
     )
     n = F.col("total_misclassifications_with_suggestion")

@@ -61,9 +61,9 @@ QUERIES = {
     "q_persistent_placeholder": lambda s, d: persistence.placeholder_reporters(combined(s, d)),
     "q_persistence_summary": lambda s, d: persistence.persistence_summary(combined(s, d), shifts(s, d)),
     "q_premium_mapping": lambda s, d: premium.rate_table(s),
-    "q_premium_delta": lambda s, d: rounded(premium.deltas(scored(s, d)), 2),
+    "q_premium_delta": lambda s, d: premium.deltas(scored(s, d)).withColumn("rate_delta", F.round("rate_delta", 4)),
     "q_premium_top50": lambda s, d: rounded(premium.top_losses(scored(s, d)).select("id", "reported_sector", "suggested_sector", "employees", "estimated_annual_loss"), 4),
-    "q_premium_summary": lambda s, d: rounded(premium.premium_summary(scored(s, d), derived(s, d, "records").count()), 2),
+    "q_premium_summary": lambda s, d: rounded(premium.premium_summary(scored(s, d), derived(s, d, "records").count()), 4),
 }
 SUMS = ", ".join
 ORACLES = {
@@ -85,13 +85,13 @@ UNION ALL SELECT 'total_downward_shifts', count(*) FROM shifts WHERE shift_type
     ),
     "q_premium_mapping": f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{s}{chr(39)}, {chr(39)}{c}{chr(39)}, {r}::DOUBLE, {chr(39)}{d}{chr(39)})' for s, c, r, d in fixed.PREMIUM_RATES)}) AS t(sector, class_code, rate, \"desc\")",
     "q_premium_delta": with_sources(
-        f"WITH {PREMIUM} SELECT reported_sector, suggested_sector, min(reported_desc) AS reported_desc, min(suggested_desc) AS suggested_desc, min(reported_rate) AS reported_rate, min(suggested_rate) AS suggested_rate, round(min(rate_delta), 2) AS rate_delta, min(direction) AS direction, count(*) AS n_establishments, sum(employees) AS total_employees, round(coalesce(sum(estimated_annual_loss), 0), 2) AS total_annual_loss, round(coalesce(sum(estimated_annual_loss), 0) / count(*), 2) AS avg_loss_per_establishment FROM scored GROUP BY 1, 2",
+        f"WITH {PREMIUM} SELECT reported_sector, suggested_sector, min(reported_desc) AS reported_desc, min(suggested_desc) AS suggested_desc, min(reported_rate) AS reported_rate, min(suggested_rate) AS suggested_rate, round(min(rate_delta), 4) AS rate_delta, min(direction) AS direction, count(*) AS n_establishments, sum(employees) AS total_employees, coalesce(sum(estimated_annual_loss::DECIMAL(20, 4))::DOUBLE, 0) AS total_annual_loss, coalesce(sum(estimated_annual_loss::DECIMAL(20, 4))::DOUBLE, 0) / count(*) AS avg_loss_per_establishment FROM scored GROUP BY 1, 2",
         "records", "results",
     ),
     "q_premium_top50": with_sources(f"WITH {PREMIUM} SELECT id, reported_sector, suggested_sector, employees, round(estimated_annual_loss, 4) AS estimated_annual_loss FROM scored ORDER BY scored.estimated_annual_loss DESC NULLS LAST, id LIMIT 50", "records", "results"),
     "q_premium_summary": with_sources(
-        f"""WITH {PREMIUM}, a AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (reported_sector <> suggested_sector))::DOUBLE AS x, (count(*) FILTER (upper(st) IN ('CA', 'CALIFORNIA')))::DOUBLE AS c, sum(estimated_annual_loss) AS t, coalesce(sum(estimated_annual_loss) FILTER (upper(st) IN ('CA', 'CALIFORNIA')), 0) AS tc, avg(estimated_annual_loss) AS av, max(estimated_annual_loss) AS mx, (count(*) FILTER (reported_sector <> suggested_sector AND rate_delta > 0))::DOUBLE AS up, (SELECT count(*) FROM records) AS total FROM scored)
-SELECT unnest(['total_misclassifications_with_suggestion', 'cross_sector_misclassifications', 'within_sector_misclassifications', 'state_establishments_affected', 'total_annual_premium_gap_all_states', 'total_annual_premium_gap_state', 'avg_premium_gap_per_establishment', 'max_individual_premium_gap', 'pct_underpaying', 'aggressive_state_loss']) AS metric, round(unnest([n, x, n - x, c, t, tc, av, mx, up / x * 100, tc * total / n]), 2) AS value FROM a""",
+        f"""WITH {PREMIUM}, a AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (reported_sector <> suggested_sector))::DOUBLE AS x, (count(*) FILTER (upper(st) IN ('CA', 'CALIFORNIA')))::DOUBLE AS c, sum(estimated_annual_loss::DECIMAL(20, 4))::DOUBLE AS t, coalesce((sum(estimated_annual_loss::DECIMAL(20, 4)) FILTER (upper(st) IN ('CA', 'CALIFORNIA')))::DOUBLE, 0) AS tc, sum(estimated_annual_loss::DECIMAL(20, 4))::DOUBLE / count(estimated_annual_loss) AS av, max(estimated_annual_loss) AS mx, (count(*) FILTER (reported_sector <> suggested_sector AND rate_delta > 0))::DOUBLE AS up, (SELECT count(*) FROM records) AS total FROM scored)
+SELECT unnest(['total_misclassifications_with_suggestion', 'cross_sector_misclassifications', 'within_sector_misclassifications', 'state_establishments_affected', 'total_annual_premium_gap_all_states', 'total_annual_premium_gap_state', 'avg_premium_gap_per_establishment', 'max_individual_premium_gap', 'pct_underpaying', 'aggressive_state_loss']) AS metric, round(unnest([n, x, n - x, c, t, tc, av, mx, up / x * 100, tc * total / n]), 4) AS value FROM a""",
         "records", "results",
     ),
 }
