@@ -58,12 +58,28 @@ ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)\
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
 
+#: Whole words that make an article element boilerplate.
+NOT_ARTICLES = frozenset("comment comments reply response ad ads advert advertisement sponsored promo related".split())
+#: Names of headers, which an article may have of its own.
+HEADERS = re.compile(r"(?:^|[\s_-])(?:header|headers)(?:$|[\s_-])", re.IGNORECASE)
+
+
 class Element:
-    __slots__ = ("name", "parent", "path", "dropped", "heading", "length", "kids")
+    """by_tag: boilerplate as an element; by_name: by its class, id or role, unless it holds what an article has."""
+
+    __slots__ = ("name", "parent", "path", "by_tag", "by_name", "holds", "dropped", "heading", "length", "kids")
 
-    def __init__(self, name, parent, path, dropped):
-        self.name, self.parent, self.path, self.dropped = name, parent, path, dropped
-        self.heading, self.length, self.kids = False, 0, []
+    def __init__(self, name, parent, path, by_tag=False, by_name=False):
+        self.name, self.parent, self.path, self.by_tag, self.by_name = name, parent, path, by_tag, by_name
+        self.holds, self.dropped, self.heading, self.length, self.kids = False, False, False, 0, []
+
+
+def mark_dropped(root: Element) -> None:
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        e.dropped = e.parent is not None and e.parent.dropped or e.by_tag or e.by_name and not e.holds
+        stack += e.kids
 
 
 def attributes(name: str, text: str, in_article: bool) -> tuple[str, bool]:
@@ -77,13 +93,16 @@ def attributes(name: str, text: str, in_article: bool) -> tuple[str, bool]:
             bad = True
         elif key in ("class", "id", "role") and value:
             label = f"{label}.{value.split()[0] if value.split() else ''}"
-            bad = bad or bool(NAMES.search(value)) and not (in_article and name in ("header", "hgroup", "h1", "h2"))
-    return label, bad and name not in ("html", "body", "main")
+            if name in ("article", "main"):
+                bad = bad or not NOT_ARTICLES.isdisjoint(value.lower().split())
+            else:
+                bad = bad or bool(NAMES.search(HEADERS.sub(" ", value) if in_article else value)) and not (in_article and name in HEADINGS)
+    return label, bad and name not in ("html", "body")
 
 
 def text_nodes(page: str) -> tuple[Element, list[tuple[Element, int, str]]]:
     """The root, and (element, block number, text) of every text node, in page order."""
-    root = Element("html", None, "html", False)
+    root = Element("html", None, "html")
     stack, out, block, pos, n = [root], [], 0, 0, len(page)
     in_article = 0
     while pos < n:
@@ -145,8 +164,10 @@ def text_nodes(page: str) -> tuple[Element, list[tuple[Element, int, str]]]:
             continue
         parent = stack[-1]
         label, bad = attributes(name, m[3], in_article > 0)
-        dropped = parent.dropped or bad or name in BOILERPLATE or name == "header" and not in_article
-        element = Element(name, parent, f"{parent.path}/{label}", dropped)
+        element = Element(name, parent, f"{parent.path}/{label}", name in BOILERPLATE or name == "header" and not in_article, bad)
+        if name in ("h1", "article", "main") and not bad and not any(e.by_tag for e in stack):
+            for e in stack:
+                e.holds = True
         parent.kids.append(element)
         stack.append(element)
         in_article += name in ("article", "main")
@@ -173,6 +194,7 @@ def path_scores(nodes: list[tuple[Element, int, str]]) -> dict[str, float]:
 def main_text(page: str) -> str:
     """The article's blocks joined by line breaks; empty if the page has none."""
     root, nodes = text_nodes(page)
+    mark_dropped(root)
     nodes = [(e, b, html.unescape(t) if "&" in t else t) for e, b, t in nodes if not e.dropped]
     full = [(e, b, t) for e, b, t in nodes if not t.isspace()]
     if not full:
