@@ -87,19 +87,17 @@ BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def over_texts(df: DataFrame, fn, schema) -> DataFrame:
-    """df.mapInArrow for wide rows: small batches, and freed memory given back to the machine as the work goes on."""
+    """df.mapInArrow for wide rows: small batches, and freed memory given back to the machine after each task."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
+        yield from fn(batches)
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-        for out in fn(batches):
-            yield out
-            del out
-            if trim:
-                trim(0)
+        if trim:
+            trim(0)
 
     return df.mapInArrow(run, schema)
 

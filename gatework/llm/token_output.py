@@ -24,7 +24,7 @@ from gatework.llm.simple8b import decode, encode
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces whose ids a worker keeps from task to task; it holds up to twice as many meanwhile.
-CACHED = 150_000
+CACHED = 250_000
 SEGMENTS = "shard int, segment int, start_in_shard long, doc_ids array<bigint>, lengths array<bigint>, data binary"
 #: The tokenizer's special tokens, matched before anything else.
 SPECIAL = r"<\|(startoftext|endoftext)\|>"
@@ -85,16 +85,18 @@ class Encoder:
         new = pieces.filter(pc.is_null(place))
         # U+0130 is the one letter that lower-casing takes apart
         letters = pc.and_(pc.match_substring_regex(new, r"^\p{L}+$"), pc.invert(pc.match_substring(new, "\u0130")))
-        for some, coder in ((new.filter(letters), self.one_word_each), (new.filter(pc.invert(letters)), self.one_by_one)):
-            if len(some):
+        place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(place < 0)
+        kinds = letters.to_numpy(zero_copy_only=False)
+        for mask, coder in ((kinds, self.one_word_each), (~kinds, self.one_by_one)):
+            if mask.any():
+                some = new.filter(pa.array(mask))
+                place[missing[mask]] = len(c["pieces"]) + np.arange(len(some))
                 ids, lengths = coder(some.to_pylist())
                 c["pieces"] = pa.concat_arrays([c["pieces"], some])
                 c["starts"] = np.concatenate([c["starts"], len(c["ids"]) + np.cumsum(lengths) - lengths])
                 c["ids"], c["lengths"] = np.concatenate([c["ids"], ids]), np.concatenate([c["lengths"], lengths])
                 c["used"] = np.concatenate([c["used"], np.zeros(len(some), np.int64)])
-        if len(new):
-            place = pc.index_in(pieces, value_set=c["pieces"])
-        place = place.to_numpy(zero_copy_only=False).astype(np.int64)
         c["used"][place] = c["time"]
         return c["ids"], c["starts"][place], c["lengths"][place]
 
@@ -136,7 +138,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 def write_segments(batches, json: str, end_id: int):
     encoder, start, segment = Encoder(json), 0, 0
-    for batch in slices(batches, "text", 3 << 20):
+    for batch in slices(batches, "text", 4 << 20):
         ids, lengths = with_end(*encoder.ids(batch.column("text")), end_id)
         yield pa.RecordBatch.from_arrays(
             [
