@@ -48,17 +48,27 @@ def corrections() -> list[Rule]:
     return out
 
 
+def apart(columns: dict[str, Column], f) -> Column:
+    """f of the columns, in a lambda. Dozens of patterns make more code than one generated method may have; a lambda is
+    interpreted, which costs little beside the patterns, and leaves the rest of the stage compiled."""
+    return F.transform(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])), f)[0]
+
+
 def breaks_any(name: Column, sector: Column, rules: list[Rule]) -> Column:
     """Whether the name has some rule's pattern while the sector is none of that rule's."""
-    out = F.lit(False)
-    for r in rules:
-        out = out | (name.rlike(r.regex()) & ~sector.isin(*r.sectors))
-    return F.coalesce(out, F.lit(False))
+
+    def some(x: Column) -> Column:
+        out = F.lit(False)
+        for r in rules:
+            out = out | (x["name"].rlike(r.regex()) & ~x["sector"].isin(*r.sectors))
+        return F.coalesce(out, F.lit(False))
+
+    return apart({"name": name, "sector": sector}, some)
 
 
 def first_match(name: Column, rules: list[Rule]) -> Column:
     """The number, from 1, of the first rule whose pattern the name has; null if none. Later patterns are not tried."""
-    return F.coalesce(*[F.when(name.rlike(r.regex()), i) for i, r in enumerate(rules, 1)])
+    return apart({"name": name}, lambda x: F.coalesce(*[F.when(x["name"].rlike(r.regex()), i) for i, r in enumerate(rules, 1)]))
 
 
 def pick(values: list[Column], number: Column) -> Column:
