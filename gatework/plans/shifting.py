@@ -28,6 +28,11 @@ def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persistence.shifts(combined(spark, sf_dir), yearly_rates(spark, sf_dir))
 
 
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = combined(spark, sf_dir)
+    return persistence.persistence_summary(df, persistence.shifts(df, yearly_rates(spark, sf_dir)))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = derived(spark, sf_dir, "records").withColumn("state", F.when(F.col("state") != "", F.col("state")))
     suggestions = derived(spark, sf_dir, "results").select("id", "suggested_naics", F.lit("CA").alias("state"))
@@ -59,7 +64,7 @@ QUERIES = {
     "q_yoy_shift": lambda s, d: rounded(shifts(s, d).select(*COLUMNS)),
     "q_chronic_down": lambda s, d: persistence.chronic_downshifters(shifts(s, d)),
     "q_persistent_placeholder": lambda s, d: persistence.placeholder_reporters(combined(s, d)),
-    "q_persistence_summary": lambda s, d: persistence.persistence_summary(combined(s, d), shifts(s, d)),
+    "q_persistence_summary": summary,
     "q_premium_mapping": lambda s, d: premium.rate_table(s),
     "q_premium_delta": lambda s, d: premium.deltas(scored(s, d)).withColumn("rate_delta", F.round("rate_delta", 4)),
     "q_premium_top50": lambda s, d: rounded(premium.top_losses(scored(s, d)).select("id", "reported_sector", "suggested_sector", "employees", "estimated_annual_loss"), 4),
