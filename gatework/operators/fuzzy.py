@@ -67,3 +67,10 @@ def best_by_word(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     """(key, match, score) as best_matches, blocked by shared words."""
     found = best_matches(word_blocks(left), word_blocks(right), "block", threshold, 1)
     return first_by(found, ["key"], [F.col("score").desc(), F.col("match")])
+
+
+def review(matches: DataFrame, most: int = 20) -> DataFrame:
+    """The best and the worst matches (key, match, score), for a look before they are used."""
+    best = matches.orderBy(F.col("score").desc(), "key").limit(most).withColumn("end", F.lit("best"))
+    worst = matches.orderBy("score", "key").limit(most).withColumn("end", F.lit("worst"))
+    return best.unionByName(worst)
