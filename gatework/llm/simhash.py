@@ -287,12 +287,13 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, shard_
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of the smallest id, a null id only where there is no other. Of
     repeated rows one stays. Rows are found again by id and a hash of id and text."""
-    keyed = docs.withColumn("dedup_key_", F.xxhash64("doc_id", "text"))
+    keys = ["dedup_key_", "dedup_id_"]  # never null, so that the join and the window share one partitioning
+    id_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keyed = docs.withColumns({"dedup_key_": F.xxhash64("doc_id", "text"), "dedup_id_": id_text("doc_id")})
     prints = written(fingerprints(keyed, words, ("dedup_key_", "doc_id")), "fingerprints")
     of_node = node_components(prints, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "dedup_key_"))
-    kept = attached(prints, of_node).groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("dedup_id_"), F.col("first.dedup_key_").alias("dedup_kept_"))
-    same = (F.col("dedup_key_") == F.col("dedup_kept_")) & ((F.col("doc_id").cast("long") == F.col("dedup_id_")) | (F.col("doc_id").isNull() & F.col("dedup_id_").isNull()))
-    once = F.row_number().over(Window.partitionBy("dedup_key_", "dedup_id_").orderBy("dedup_key_"))
-    found = keyed.join(kept, same).withColumn("dedup_nth_", once).where("dedup_nth_ = 1")
+    kept = attached(prints, of_node).groupBy("root").agg(first.alias("first")).select(F.col("first.dedup_key_").alias("dedup_key_"), id_text("first.doc_id").alias("dedup_id_"))
+    once = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    found = keyed.join(kept, keys).withColumn("dedup_nth_", once).where("dedup_nth_ = 1")
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
