@@ -82,6 +82,12 @@ def slices(batches, column: str, most: int = SLICE_BYTES):
         yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
 
 
+def pieces_of(df: DataFrame, column: str, most: int) -> int:
+    """How many pieces of about `most` bytes df's texts make, so that a piece is as large for any input."""
+    size = df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+    return max(1, -(-size // most))
+
+
 #: Rows and bytes of an Arrow batch, so that a batch of long texts fits in an executor beside the JVM.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 

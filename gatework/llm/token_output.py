@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gatework.llm.common import fresh_path, over_texts, ragged, slices, worker_cache
+from gatework.llm.common import fresh_path, over_texts, pieces_of, ragged, slices, worker_cache
 from gatework.llm.simple8b import decode, encode
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Bytes of text in a shard.
+SHARD_BYTES = 24 << 20
 #: Pieces whose ids a worker keeps from task to task; it holds up to twice as many meanwhile.
 CACHED = 250_000
 SEGMENTS = "shard int, segment int, start_in_shard long, doc_ids array<bigint>, lengths array<bigint>, data binary"
@@ -177,7 +179,7 @@ def read_segments(batches):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shards: int | None = None) -> None:
     """Writes all texts' ids (null is empty) in ascending doc_id order, null ids first. `tokenizer` is a path."""
     spark = docs.sparkSession
-    shards = shards or max(docs.rdd.getNumPartitions(), 1)
+    shards = shards or pieces_of(docs, "text", SHARD_BYTES)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     dealt = slim.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "text", F.spark_partition_id().alias("shard"))
     json = spark.sparkContext.broadcast(tokenizer_json(tokenizer))  # a file of fixed size
