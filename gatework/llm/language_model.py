@@ -21,10 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatework.llm.common import over_texts, slices
+from gatework.llm.common import over_texts, pieces_of, slices
 from gatework.llm.language import held_out
 
 MU = 100.0
+#: Bytes of text in a block.
+BLOCK_BYTES = 14 << 20
+#: Partitions for each block, so that few blocks share one.
+SPREAD = 3
 END_HASH = np.uint64(0x656E64206F662074)
 ASKED = "bucket long, block long, kind int, n int, hashes binary, counts binary"
 ANSWERED = "block long, bucket long, kind int, n int, counts binary"
@@ -222,12 +226,12 @@ def score_texts(docs: DataFrame, held: Column, mu: float = MU, blocks: int | Non
     Null and empty texts have the end only. Without training rows all counts are 0. Repeated rows count and are scored
     each, an empty table gives an empty result, and extra columns are ignored.
     """
-    blocks = blocks or max(2 * docs.rdd.getNumPartitions(), 1)  # of some 8 MB of Parquet each
-    bits = max(blocks - 1, 1).bit_length()
+    blocks = blocks or pieces_of(docs, "text", BLOCK_BYTES)
+    bits = max(4 * blocks - 1, 1).bit_length()  # small buckets spread evenly
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
     stats = over_texts(slim.where(~F.col("held_out")).select("text"), distinct_batches, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 0")
     n_train, n_distinct = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(SPREAD * blocks, "block")
     questions = dealt.groupBy("block").applyInArrow(lambda rows: asked(rows, bits), ASKED)
     answers = questions.groupBy("bucket").applyInArrow(answered, ANSWERED)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
