@@ -1,6 +1,7 @@
 """Every query of the engine against its SQL twin."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
@@ -20,7 +21,7 @@ def duck():
 
 def rows(df, columns):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
 
