@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -39,6 +40,18 @@ def test_pieces_give_the_ids_of_whole_texts():
             at += n
 
 
+def test_letters_that_nfc_takes_apart():
+    letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L" and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xD7A4 <= c < 0x17000)]
+    texts = ["\u09b9\u09df", "\u0938\u095c\u0915", "\u09b9\u09df \u0938\u095c\u0915 plain words", *(f"x{c}y" for c in letters), *letters]
+    json = tokenizer_json()
+    plain, encoder = Tokenizer.from_str(json), Encoder(json)
+    for part in (texts[:1], texts[:3], texts):
+        ids, counts = encoder.ids(pa.array(part))
+        want = [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+
+
 def test_files_give_back_all_ids(spark):
     got = token_output(frame(spark)).collect()
     plain = Tokenizer.from_str(tokenizer_json())
