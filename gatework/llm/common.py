@@ -7,6 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +44,44 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, computed once into a table in the shared folder: lineage ends there, and losing executors loses nothing."""
+#: Tables that end with the scratch they were written in, innermost last.
+_scratches: list[list[str]] = []
+
+
+def written(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+    """df, computed once into a table in the shared folder: lineage ends there, and losing executors loses nothing.
+    Within a scratch the table ends with it; one that is kept ends with the scratch around that, if any."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
+    if len(_scratches) > keep:
+        _scratches[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what was written within. What is returned from it must rest on kept tables only."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as none of df's columns needs."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 #: Bytes of text that a Python task handles at once.
 SLICE_BYTES = 16 << 20
 

@@ -19,9 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gatework.llm.common import distinct, over_texts, ragged, slices, written
+from gatework.llm.common import distinct, over_texts, ragged, scratch, slices, written
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of one tree.
@@ -230,21 +229,24 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until nothing changes. Every step is joins and pre-aggregated minima over the
     links, written to the shared folder; the driver sees only their number and checksum.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    mark = None
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = written(small, "links")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    with scratch(edges.sparkSession):
+        edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+        mark = None
+        while True:
+            both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(low, "a")
+            small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+            edges = written(small, "links")
+            now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+            if now == mark:
+                break
+            mark = now
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")))
+        roots = written(both.distinct(), "roots", keep=True)
+    return roots
 
 
 def node_components(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -282,18 +284,3 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, shard_
     prints = written(fingerprints(docs, words), "fingerprints")
     of_node = node_components(prints, radius, shard_rows)
     return attached(prints, of_node).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, a null id only where there is no other. Of
-    repeated rows one stays. Rows are found again by id and a hash of id and text."""
-    keys = ["dedup_key_", "dedup_id_"]  # never null, so that the join and the window share one partitioning
-    id_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"dedup_key_": F.xxhash64("doc_id", "text"), "dedup_id_": id_text("doc_id")})
-    prints = written(fingerprints(keyed, words, ("dedup_key_", "doc_id")), "fingerprints")
-    of_node = node_components(prints, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "dedup_key_"))
-    kept = attached(prints, of_node).groupBy("root").agg(first.alias("first")).select(F.col("first.dedup_key_").alias("dedup_key_"), id_text("first.doc_id").alias("dedup_id_"))
-    once = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-    found = keyed.join(kept, keys).withColumn("dedup_nth_", once).where("dedup_nth_ = 1")
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -72,12 +72,3 @@ def test_long_chains_are_one_component(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(100 - i, signed(x)) for i, x in enumerate(chain)], "doc_id long, fp long")
     assert {r.component_id for r in simhash.node_components(df).collect()} == {84}
-
-
-def test_deduplicated_keeps_one_of_each_component(spark):
-    docs = frame(spark, ODD)
-    kept = simhash.deduplicated(docs)
-    assert kept.columns == docs.columns
-    found = simhash.near_dedup(docs).collect()
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(r.component_id) for r in found})
-    assert simhash.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
