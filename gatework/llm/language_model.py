@@ -7,9 +7,13 @@ failure arc of weight MU / (c(h) + MU) to the root, which has an arc for every w
 text is scored in one traversal from left to right that carries the state.
 
 Counts of the whole corpus fit no single machine, so documents are dealt into blocks of bounded size. A block asks for
-the counts of its own distinct n-grams (64-bit hashes, packed in sorted order) at the buckets that merge them; a bucket
-adds up and answers every block in the order it was asked. A block's automaton then holds exactly the states and arcs
-that its documents can reach. Two of n distinct n-grams share a hash with a chance of about n^2 / 2^65.
+the counts of its own distinct n-grams (64-bit hashes, packed in sorted order), cut into FAN ranges of the hash. For each
+range the questions of FAN blocks are merged; where there are more blocks, the merged n-grams are cut into FAN finer
+ranges and merged with those of FAN - 1 other such groups, and so on until a range has the questions of all blocks. Answers
+go back the same way, in the order of the questions. So a block sends FAN messages a kind whatever the number of blocks,
+every merge has FAN of them, and the number of levels is the logarithm of the number of blocks. A block's automaton then
+holds exactly the states and arcs that its documents can reach. The answers also carry the sums over their ranges, from
+which every block has the corpus' totals. Two of n distinct n-grams share a hash with a chance of about n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatework.llm.common import over_texts, pieces_of, slices
+from gatework.llm.common import pieces_of
 from gatework.llm.language import held_out
 
 MU = 100.0
@@ -29,14 +33,18 @@ MU = 100.0
 BLOCK_BYTES = 14 << 20
 #: Partitions for each block, so that few blocks share one.
 SPREAD = 3
+#: Bits of FAN, the number of ranges that n-grams are cut into and of questions that are merged at each level.
+FAN_BITS = 7
 END_HASH = np.uint64(0x656E64206F662074)
-ASKED = "bucket long, block long, kind int, n int, hashes binary, counts binary"
-ANSWERED = "block long, bucket long, kind int, n int, counts binary"
+#: The range of the hash, what merges the question, who asks it, words or bigrams, how many; hashes and training counts.
+ASKED = "range long, parent long, child long, kind int, n int, hashes binary, counts binary"
+#: Who asked, the range, the counts in the corpus; of words also the sum and the number of those seen in the range.
+ANSWERED = "upper long, child long, range long, kind int, counts binary, tokens long, seen long"
 
 
 def planes(values: np.ndarray) -> bytes:
     """Little-endian bytes, all first bytes before all second ones, which compress well where values are small."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, kind) -> np.ndarray:
@@ -95,51 +103,96 @@ class Block:
         self.pairs, self.pair_hashes, self.pair_counts = pair[order], mixed[order], counts[order]
         order = np.argsort(t.hashes, kind="stable")
         self.words, self.word_hashes = order, t.hashes[order]
-        self.word_counts = np.bincount(t.stream[train], minlength=n)[order].astype(np.uint32)
+        self.word_counts = np.bincount(t.stream[train], minlength=n)[order]
 
     def kinds(self):
         yield 0, self.word_hashes, self.word_counts
         yield 1, self.pair_hashes, self.pair_counts
 
 
+def table_of(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [field.split() for field in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
+
+
+def questions(child: int, above: int, level: int, kind: int, hashes: np.ndarray, counts: np.ndarray, bits: int):
+    """The questions of one child of level `level` for its sorted n-grams, all in range `above`: one a finer range, also
+    where it has no n-gram."""
+    first = above << bits
+    ranges = (hashes >> np.uint64(64 - level * bits)).astype(np.int64)
+    cuts = np.searchsorted(ranges, np.arange(first, first + (1 << bits) + 1))
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        yield first + k, child >> bits, child, kind, b - a, planes(np.diff(hashes[a:b], prepend=np.uint64(0))), planes(counts[a:b].astype(np.uint64))
+
+
 def asked(rows: pa.Table, bits: int) -> pa.Table:
-    """A block's questions: its n-grams and what it adds to their counts, by bucket (the top bits of the hash)."""
+    """A block's questions: its n-grams and what it adds to their counts."""
     out = []
     if rows.num_rows:
-        block = rows.column("block")[0].as_py()
         for kind, hashes, counts in Block(rows).kinds():
-            buckets = (hashes >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(hashes)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                out.append((int(buckets[a]), block, kind, b - a, planes(np.diff(hashes[a:b], prepend=np.uint64(0))), planes(counts[a:b].astype(np.uint32))))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    names = ("bucket", "block", "kind", "n", "hashes", "counts")
-    return pa.table({name: pa.array([r[i] for r in out], k) for i, (name, k) in enumerate(zip(names, kinds, strict=True))})
+            out += questions(rows.column("block")[0].as_py(), 0, 1, kind, hashes, counts, bits)
+    return table_of(out, ASKED)
 
 
-def answered(rows: pa.Table) -> pa.Table:
-    """A bucket's answers: the corpus counts of what each block asked for, in its order."""
-    out = []
-    for kind in (0, 1):
-        mine = rows.filter(pc.equal(rows.column("kind"), kind))
-        if not mine.num_rows:
-            continue
-        sizes = mine.column("n").to_pylist()
-        hashes = np.concatenate([np.cumsum(unplanes(h, np.uint64), dtype=np.uint64) for h in mine.column("hashes").to_pylist()])
-        counts = np.concatenate([unplanes(c, np.uint32) for c in mine.column("counts").to_pylist()]).astype(np.int64)
+class Merged:
+    """The questions of a range from all children of one parent, for one kind of n-gram: the distinct n-grams, sorted, and
+    the sums of their counts."""
+
+    def __init__(self, rows: pa.Table, kind: int):
+        self.kind, self.rows = kind, rows.filter(pc.equal(rows.column("kind"), kind))
+        self.sizes = self.rows.column("n").to_pylist()
+        hashes = [np.cumsum(unplanes(h, np.uint64), dtype=np.uint64) for h in self.rows.column("hashes").to_pylist()]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        counts = np.concatenate([np.zeros(0, np.uint64), *(unplanes(c, np.uint64) for c in self.rows.column("counts").to_pylist())])
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
-        head = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        sums = np.add.reduceat(counts[order], np.flatnonzero(head))
-        total = np.empty(len(counts), np.uint32)
-        total[order] = np.minimum(sums, 2**32 - 1)[np.cumsum(head) - 1]
+        head = np.ones(len(hashes), bool)
+        head[1:] = hashes[1:] != hashes[:-1]
+        self.hashes = hashes[head]
+        self.sums = np.add.reduceat(counts[order], np.flatnonzero(head)) if len(hashes) else counts
+        self.place = np.empty(len(hashes), np.int64)
+        self.place[order] = np.cumsum(head) - 1
+
+    def answers(self, sums: np.ndarray, tokens: int, seen: int, bits: int):
         at = 0
-        for block, bucket, n in zip(mine.column("block").to_pylist(), mine.column("bucket").to_pylist(), sizes, strict=True):
-            out.append((block, bucket, kind, n, planes(total[at : at + n])))
+        for child, of, n in zip(self.rows.column("child").to_pylist(), self.rows.column("range").to_pylist(), self.sizes, strict=True):
+            yield of >> bits, child, of, self.kind, planes(sums[self.place[at : at + n]]), tokens, seen
             at += n
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    names = ("block", "bucket", "kind", "n", "counts")
-    return pa.table({name: pa.array([r[i] for r in out], k) for i, (name, k) in enumerate(zip(names, kinds, strict=True))})
+
+
+def passed_on(rows: pa.Table, level: int, bits: int) -> pa.Table:
+    """The questions of level `level` + 1 for what a range's questions of level `level` make together."""
+    parent, above, out = rows.column("parent")[0].as_py(), rows.column("range")[0].as_py(), []
+    for kind in (0, 1):
+        m = Merged(rows, kind)
+        out += questions(parent, above, level + 1, kind, m.hashes, m.sums, bits)
+    return table_of(out, ASKED)
+
+
+def answered(rows: pa.Table, bits: int) -> pa.Table:
+    """The answers of a range that has the questions of all blocks."""
+    words, pairs = Merged(rows, 0), Merged(rows, 1)
+    tokens, seen = int(words.sums.sum()), int((words.sums > 0).sum())
+    return table_of([*words.answers(words.sums, tokens, seen, bits), *pairs.answers(pairs.sums, 0, 0, bits)], ANSWERED)
+
+
+def collected(answers: pa.Table, kind: int) -> np.ndarray:
+    """The counts in answers, in the order of the n-grams asked for."""
+    mine = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("range")
+    return np.concatenate([np.zeros(0, np.uint64), *(unplanes(c, np.uint64) for c in mine.column("counts").to_pylist())])
+
+
+def passed_back(rows: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
+    """The answers to a range's questions, from the answers to what they made together."""
+    out = []
+    tokens, seen = (sum(answers.column(c).to_pylist()) for c in ("tokens", "seen"))
+    for kind in (0, 1):
+        m, sums = Merged(rows, kind), collected(answers, kind)
+        if len(sums) != len(m.hashes):
+            raise ValueError("answers don't fit the questions")
+        out += m.answers(sums, tokens * (kind == 0), seen * (kind == 0), bits)
+    return table_of(out, ANSWERED)
 
 
 class Automaton:
@@ -186,15 +239,12 @@ class Automaton:
         return out
 
 
-def scored(rows: pa.Table, answers: pa.Table, n_train: int, n_distinct: int, mu: float) -> pa.Table:
+def scored(rows: pa.Table, answers: pa.Table, mu: float) -> pa.Table:
     block = Block(rows)
-    found = []
-    for kind, hashes, _ in block.kinds():
-        mine = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("bucket")
-        parts = [unplanes(c, np.uint32) for c in mine.column("counts").to_pylist()]
-        found.append(np.concatenate(parts) if parts else np.zeros(0, np.uint32))
-        if len(found[-1]) != len(hashes):
-            raise ValueError("a block's answers don't fit its questions")
+    found = [collected(answers, kind) for kind in (0, 1)]
+    if any(len(f) != len(hashes) for f, (_, hashes, _) in zip(found, block.kinds(), strict=True)):
+        raise ValueError("a block's answers don't fit its questions")
+    n_train, n_distinct = (sum(answers.column(c).to_pylist()) for c in ("tokens", "seen"))
     model = Automaton(block, found[0], found[1], n_train, n_distinct, mu)
     t = block.tokens
     del block, found
@@ -212,30 +262,27 @@ def scored(rows: pa.Table, answers: pa.Table, n_train: int, n_distinct: int, mu:
     )
 
 
-def distinct_batches(batches):
-    """(hash, n) of the distinct tokens of a partition's slices."""
-    for batch in slices(batches, "text", 32 << 20):
-        t = Tokens(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array(t.hashes.view(np.int64)), pa.array(np.bincount(t.stream, minlength=len(t.hashes)))], ["hash", "n"])
-
-
-def score_texts(docs: DataFrame, held: Column, mu: float = MU, blocks: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column, mu: float = MU, blocks: int | None = None, bits: int = FAN_BITS) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; the model learns from
     rows where `held` (over doc_id) is false.
 
     Null and empty texts have the end only. Without training rows all counts are 0. Repeated rows count and are scored
-    each, an empty table gives an empty result, and extra columns are ignored.
+    each; a very long text makes a larger block. An empty table gives an empty result, and extra columns are ignored.
     """
     blocks = blocks or pieces_of(docs, "text", BLOCK_BYTES)
-    bits = max(4 * blocks - 1, 1).bit_length()  # small buckets spread evenly
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
-    stats = over_texts(slim.where(~F.col("held_out")).select("text"), distinct_batches, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 0")
-    n_train, n_distinct = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(SPREAD * blocks, "block")
-    questions = dealt.groupBy("block").applyInArrow(lambda rows: asked(rows, bits), ASKED)
-    answers = questions.groupBy("bucket").applyInArrow(answered, ANSWERED)
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id may be many and equal
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(blocks))).repartition(SPREAD * blocks, "block")
+    levels = [dealt.groupBy("block").applyInArrow(lambda rows: asked(rows, bits), ASKED)]
+    merge = lambda level: lambda rows: passed_on(rows, level, bits)
+    while blocks > 1 << bits * len(levels):
+        levels.append(levels[-1].groupBy("range", "parent").applyInArrow(merge(len(levels)), ASKED))
+    answers = levels.pop().groupBy("range", "parent").applyInArrow(lambda rows: answered(rows, bits), ANSWERED)
+    while levels:
+        merged = levels.pop().groupBy("range", "parent")
+        answers = merged.cogroup(answers.groupBy("upper", "child")).applyInArrow(lambda rows, found: passed_back(rows, found, bits), ANSWERED)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda rows, found: scored(rows, found, n_train, n_distinct, mu), schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("child")).applyInArrow(lambda rows, found: scored(rows, found, mu), schema)
 
 
 def score_report(docs: DataFrame) -> DataFrame:

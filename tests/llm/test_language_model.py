@@ -2,10 +2,12 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gatework.llm.language import held_out
-from gatework.llm.language_model import MU, score_texts
+from gatework.llm.language_model import ASKED, MU, answered, collected, passed_back, passed_on, questions, score_texts, table_of
 from tests.llm.helpers import LOW, ODD, frame, remainder
 
 
@@ -13,9 +15,11 @@ def tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), None]
 
 
-def test_against_brute_force(spark):
-    rows = [r for r in ODD if r[0] != 7] + [(50 + i, "the cat %d sat on the mat, the dog %d too" % (i % 5, i % 3), "en", "a", 1) for i in range(60)]
-    got = score_texts(frame(spark, rows), held_out(F.col("doc_id"), 5, 1), blocks=3).collect()
+@pytest.mark.parametrize(("blocks", "bits"), [(3, 7), (21, 2)])
+def test_against_brute_force(spark, blocks, bits):
+    """One level of merging, and three."""
+    rows = ODD + [(None, "no id, the same text", "en", "a", 1)] * 9 + [(50 + i, "the cat %d sat on the mat, the dog %d too" % (i % 5, i % 3), "en", "a", 1) for i in range(60)]
+    got = score_texts(frame(spark, rows), held_out(F.col("doc_id"), 5, 1), blocks=blocks, bits=bits).collect()
     held = lambda i: i is not None and remainder(i, 5) == 1
     one, two = Counter(), Counter()
     for i, t, *_ in rows:
@@ -73,3 +77,24 @@ def test_no_training_rows_and_no_rows(spark):
     got = score_texts(frame(spark), F.lit(True)).collect()
     assert len(got) == len(ODD) and all(r.train_tokens == 0 and r.n_known == 0 for r in got)
     assert score_texts(frame(spark, []), F.lit(False)).count() == 0
+
+
+def test_counts_beyond_32_bits_and_messages_of_a_block():
+    """Two groups of blocks ask for the same words; the range above merges both."""
+    bits, hashes = 1, np.array([5, 9, 1 << 63, (1 << 63) + 1], np.uint64)
+    level_1 = {}
+    for block, n in enumerate([2**33, 7, 2**40]):
+        asked = list(questions(block, 0, 1, 0, hashes, np.full(4, n), bits)) + list(questions(block, 0, 1, 1, hashes[:0], np.zeros(0), bits))
+        assert len(asked) == 2 * 2**bits
+        for q in asked:
+            level_1.setdefault(q[:2], []).append(q)
+    level_2 = {}
+    for rows in level_1.values():
+        for q in passed_on(table_of(rows, ASKED), 1, bits).to_pylist():
+            level_2.setdefault((q["range"], q["parent"]), []).append(tuple(q.values()))
+    back = [a for rows in level_2.values() for a in answered(table_of(rows, ASKED), bits).to_pylist()]
+    for (of, parent), rows in level_1.items():
+        mine = [a for a in back if (a["upper"], a["child"]) == (of, parent)]
+        answers = passed_back(table_of(rows, ASKED), type(table_of([], ASKED)).from_pylist(mine), bits)
+        assert collected(answers, 0).tolist() == [2**33 + 7 + 2**40] * 2 * len({q[2] for q in rows})
+        assert {(a["tokens"], a["seen"]) for a in answers.to_pylist() if a["kind"] == 0} == {(2 * (2**33 + 7 + 2**40), 2)}
