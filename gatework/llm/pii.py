@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The patterns give the base spans. The field looks at what they leave: islands of digits and separators, and of marks
-that spell an address, are cut into tokens; whole segments of up to `LONGEST` tokens are candidates, scored by features
+that spell an address, are cut into tokens; whole segments of up to 19 digits are candidates, scored by features
 of the whole span (digit count, checksum, group lengths, separators, neighbours); dynamic programming over the island
 chooses boundaries and types together. So it finds what a greedy pattern swallows or drops, such as a card number
 behind a phone number. Base spans always stay, and the field adds none that overlaps them.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from gatework.llm.common import over_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Islands that are learned from at most, the share of documents that they come from at most, passes, tokens of a segment.
-ISLANDS, TRAIN_DOCS, PASSES, LONGEST = 600, 4000, 12, 24
+#: Islands that are learned from at most and how long they may be, the documents that they come from, passes.
+ISLANDS, ISLAND_CHARS, TRAIN_DOCS, PASSES = 600, 400, 4000, 12
 #: The base patterns, written so that no start is tried twice in one run of digits.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -37,6 +37,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What the field looks at.
 NUMERIC = re.compile(r"[+(]*[0-9](?:[0-9]|[ .()+-](?=[ .()+-]{0,2}[0-9]))*")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT|@)[\])] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[(](?:dot|DOT|\.)[\])] ?|\.)[A-Za-z0-9-]{1,63}){1,8}")
+OPENING = re.compile(r"[+(]{0,2}[0-9]")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
 ADDRESS = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")
 
@@ -118,15 +119,17 @@ def islands(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """Token starts of an island (with its end), and (kind, first token, token after the last) of what a segment may be."""
+    """Token starts of an island (with its end), and (kind, first token, token after the last) of what a segment may be.
+
+    A segment has up to 19 digits, and up to 3 separators stand between two of an island's digits; at most 2 marks open
+    one. So the candidates grow with the island's length only, however its digits are spaced."""
     places = [m.start() for m in TOKEN.finditer(text, a, b)] + [b]
     out = []
     for i in range(len(places) - 1):
-        first = text[places[i]]
-        if not ("0" <= first <= "9" or first in "+("):
+        if not OPENING.match(text, places[i]):
             continue
         n = 0
-        for j in range(i, min(i + LONGEST, len(places) - 1)):
+        for j in range(i, len(places) - 1):
             c = text[places[j]]
             if not "0" <= c <= "9":
                 if c not in " .()+-" or c == "+" and j > i:
@@ -251,8 +254,8 @@ def made_up(seed: int = 7, rounds: int = 60) -> list[tuple[str, list[tuple[int,
             d = r.choice("3456") + number(r.choice([12, 14, 15, 15, 15, 18]))
             if luhn(d) == good:
                 break
-        sep = r.choice(["", "", " ", "-"])
-        return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+        sep, each = r.choice([("", 4), ("", 4), (" ", 4), ("-", 4), (" ", 1)])
+        return sep.join(d[i : i + each] for i in range(0, len(d), each))
 
     def phone(plus: bool) -> str:
         a, b, c = number(3), number(3), number(4)
@@ -302,13 +305,13 @@ def island_batches(batches):
 
 
 def trained(docs: DataFrame) -> Field:
-    """A field learned from made-up islands and from at most ISLANDS islands (of at most 400 characters) of a sample of
-    documents; a text's islands come from a sample of some TRAIN_DOCS rows by hash of the id."""
+    """A field learned from made-up islands and from at most ISLANDS islands (of at most ISLAND_CHARS characters) of some
+    TRAIN_DOCS documents, a sample by hash of the id."""
     n = docs.count()
     draw = F.crc32(F.concat(F.lit("pii"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sample = docs.select(draw.alias("draw"), "text").where(F.col("text").isNotNull() & (F.col("draw") < TRAIN_DOCS / max(n, 1) * (1 << 32)))
     found = over_texts(sample, island_batches, "draw long, place int, text string, a int, b int, gold array<int>")
-    rows = found.where(F.col("b") - F.col("a") <= 400).orderBy("draw", "place", "text").limit(ISLANDS).collect()
+    rows = found.where(F.col("b") - F.col("a") <= ISLAND_CHARS).orderBy("draw", "place", "text").limit(ISLANDS).collect()
     examples = []
     for text, spans in made_up():
         examples += [example(text, a, b, set(spans)) for a, b in islands(text)]
@@ -341,8 +344,8 @@ def report_batches(batches, field: Field):
 def pii_report(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (base and added) of every row.
 
-    Null and empty texts have no spans. Spans of different kinds may overlap where the base patterns do. Repeated rows
-    each appear, an empty table gives an empty result, and extra columns are ignored.
+    Null and empty texts have no spans; very long texts are read whole. Spans of different kinds may overlap where the
+    base patterns do. Repeated rows each appear, an empty table gives an empty result, and extra columns are ignored.
     """
     field = field or trained(docs)
     sent = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred weights
