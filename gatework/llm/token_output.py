@@ -8,6 +8,7 @@ writer commits the rows as Parquet, so a lost executor repeats its task and no h
 from __future__ import annotations
 
 import hashlib
+import json as jsons
 import os
 import zlib
 
@@ -28,8 +29,14 @@ SHARD_BYTES = 24 << 20
 #: Pieces whose ids a worker keeps from task to task; it holds up to twice as many meanwhile.
 CACHED = 250_000
 SEGMENTS = "shard int, segment int, start_in_shard long, doc_ids array<bigint>, lengths array<bigint>, data binary"
-#: The tokenizer's special tokens, matched before anything else.
+#: The special tokens, normaliser, pre-tokenizer and end-of-word mark by which a text's ids are those of its
+#: pieces. A tokenizer with others encodes whole texts.
 SPECIAL = r"<\|(startoftext|endoftext)\|>"
+SPECIALS = ["<|startoftext|>", "<|endoftext|>"]
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+WORD_END = "</w>"
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -39,12 +46,25 @@ def tokenizer_json(path: str | None = None) -> str:
     return Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER)).to_str()
 
 
+def cuts_texts(json: str) -> bool:
+    """Whether the tokenizer's rules are those that Encoder's pieces rest on."""
+    rules = jsons.loads(json)
+    added = [t["content"] for t in rules["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+    pre = {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+    model = rules["model"]
+    return (
+        added == SPECIALS and len(rules["added_tokens"]) == len(added) and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == pre and not rules["truncation"] and not rules["padding"]
+        and model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not model["continuing_subword_prefix"] and not model["dropout"]
+    )
+
+
 class Encoder:
     """Encodes whole texts, each distinct piece once.
 
-    The tokenizer drops white space and never joins across it, nor across a change between an ASCII letter and an ASCII
+    The known tokenizer drops white space and never joins across it, nor across a change between an ASCII letter and an ASCII
     mark (an apostrophe may start a contraction and is left alone), and it folds case. So a text's ids are those of its
-    pieces in order. Words that contain a special token are kept as they are.
+    pieces in order. Words that contain a special token are kept as they are. A tokenizer of any other rules encodes each
+    text as a whole.
     """
 
     def __init__(self, json: str):
@@ -54,7 +74,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
-            self.ends_word[i] = piece.endswith("</w>")
+            self.ends_word[i] = piece.endswith(WORD_END)
+        self.cuts = cuts_texts(json)
         self.cache = worker_cache(f"tokens-{hashlib.sha256(json.encode()).hexdigest()}")
         if not self.cache:
             none = np.zeros(0, np.int64)
@@ -106,6 +127,8 @@ class Encoder:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of each text."""
+        if not self.cuts:
+            return self.one_by_one([t or "" for t in texts.to_pylist()]) if len(texts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         words = split.flatten().dictionary_encode()
@@ -195,14 +218,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("before"))
     docs = over_texts(segments, read_segments, "shard int, start long, doc_id long, n_tokens long, ids_crc32 long")
-    return docs.join(F.broadcast(shards), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(shards, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes docs' tokens in the shared folder and reads them back.
 
-    Null and empty texts have the end id only. Repeated rows are each written; rows of one id follow one another in any
-    order. A null id sorts first. An empty table gives an empty result. Extra columns are ignored.
+    Null and empty texts have the end id only; a very long text is a segment of its own. Repeated rows are each written;
+    rows of one id follow one another in any order. A null id sorts first. An empty table gives an empty result. Extra
+    columns are ignored.
     """
     path = fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer)

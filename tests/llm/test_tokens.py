@@ -3,6 +3,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +41,17 @@ def test_pieces_give_the_ids_of_whole_texts():
             at += n
 
 
+def test_other_tokenizers_encode_whole_texts():
+    texts = ["It's a Test.Of   pieces", "don't<|endoftext|>x", "", None, "\u65e5\u672c word" * 50]
+    for json in (tokenizer_json(public_tokenizers.path("byte_bpe_50k.json")), tokenizer_json().replace('{"type":"Lowercase"}', '{"type":"NFD"}')):
+        plain, encoder = Tokenizer.from_str(json), Encoder(json)
+        assert not encoder.cuts
+        ids, counts = encoder.ids(pa.array(texts))
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert Encoder(tokenizer_json()).cuts
+
+
 def test_letters_that_nfc_takes_apart():
     letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L" and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xD7A4 <= c < 0x17000)]
     texts = ["\u09b9\u09df", "\u0938\u095c\u0915", "\u09b9\u09df \u0938\u095c\u0915 plain words", *(f"x{c}y" for c in letters), *letters]
