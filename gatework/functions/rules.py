@@ -12,40 +12,26 @@ from gatework.functions import fixed
 
 @dataclass(frozen=True)
 class Rule:
-    pattern: str
+    pattern: str  # a Java pattern; case is folded
     sectors: tuple[str, ...]
     code: str = ""
     title: str = ""
-    after: tuple[str, ...] = ()  # words that must not stand before
-    before: tuple[str, ...] = ()  # words that must not follow
 
     def regex(self) -> str:
-        """A Java pattern, case folded."""
-        behind = "".join(rf"(?<!{w}\s)" for w in self.after)
-        whole = r")\b)" if self.before == tuple(fixed.ADDRESS_WORDS) else "))"
-        ahead = r"(?!\s+(?:" + "|".join(self.before) + whole if self.before else ""
-        return f"(?iu){behind}{self.pattern}{ahead}"
+        return f"(?iu){self.pattern}"
 
 
 def name_rules() -> list[Rule]:
-    out = []
-    for line in fixed.NAME_RULES.strip().splitlines():
-        pattern, _, sectors = line.rpartition(" | ")
-        out.append(Rule(pattern, tuple(sectors.split())))
-    return out
+    return [Rule(*r) for r in fixed.NAME_RULES]
 
 
 def corrections() -> list[Rule]:
-    out = []
-    for line in fixed.CORRECTIONS.strip().splitlines():
-        pattern, code, title, sectors, *notes = line.split(" | ")
-        after: list[str] = []
-        before: list[str] = []
-        for note in (n.split() for n in (notes[0].split(", ") if notes else [])):
-            words = fixed.ADDRESS_WORDS if note[2:] == ["address"] else note[2:]
-            (after if note[1] == "after" else before).extend(words)
-        out.append(Rule(pattern, tuple(sectors.split()), code, title, tuple(after), tuple(before)))
-    return out
+    return [Rule(pattern, sectors, code, title) for pattern, code, title, sectors in fixed.CORRECTIONS]
+
+
+def any_of(rules: list[Rule]) -> str:
+    """One pattern that a name has if and only if it has one of the rules'."""
+    return "(?iu)(?:" + "|".join(r.pattern for r in rules) + ")"
 
 
 def apart(columns: dict[str, Column], f) -> Column:
@@ -61,14 +47,15 @@ def breaks_any(name: Column, sector: Column, rules: list[Rule]) -> Column:
         out = F.lit(False)
         for r in rules:
             out = out | (x["name"].rlike(r.regex()) & ~x["sector"].isin(*r.sectors))
-        return F.coalesce(out, F.lit(False))
+        return F.when(x["name"].rlike(any_of(rules)), F.coalesce(out, F.lit(False))).otherwise(False)
 
     return apart({"name": name, "sector": sector}, some)
 
 
 def first_match(name: Column, rules: list[Rule]) -> Column:
     """The number, from 1, of the first rule whose pattern the name has; null if none. Later patterns are not tried."""
-    return apart({"name": name}, lambda x: F.coalesce(*[F.when(x["name"].rlike(r.regex()), i) for i, r in enumerate(rules, 1)]))
+    first = lambda x: F.coalesce(*[F.when(x["name"].rlike(r.regex()), i) for i, r in enumerate(rules, 1)])
+    return apart({"name": name}, lambda x: F.when(x["name"].rlike(any_of(rules)), first(x)))
 
 
 def pick(values: list[Column], number: Column) -> Column:

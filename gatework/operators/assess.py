@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from gatework.config import DEFAULT, Config
 from gatework.functions import fixed
 from gatework.functions.codes import code_form, overlap_score, prefix, relative_gap, same_sector, sector
-from gatework.functions.text import blank, description_tokens, first_filled
-from gatework.operators.lookup import cascade, has_prefix, member, title_tree
+from gatework.functions.text import blank, description_tokens, filled, first_filled
+from gatework.operators.lookup import by_values, cascade, has_prefix, joined_filled, member, title_tree
 from gatework.operators.pages import listed, raw_domain
 
 ANALYSED = ("SUGGESTED", "UNCERTAIN", "EDGAR_SUGGESTED", "SAM_SUGGESTED")
 RESOLVED = ("CONFIRMED", "SAM_CONFIRMED", "EDGAR_CONFIRMED")
 
 
+def rounded_text(c: Column, form: str) -> Column:
+    """A number in a form such as 0.00, halves to even."""
+    return F.call_function("format_number", c, F.lit(form))
+
+
 def to_analyse(results: DataFrame, described: bool = False) -> DataFrame:
     """Results whose suggestion differs from what was reported."""
     a, b = blank(F.col("naics_code")), blank(F.col("suggested_naics"))
@@ -40,18 +45,19 @@ def materiality(results: DataFrame, rates: DataFrame, targets: DataFrame | None
     """The analysed results with rates (tried from six to two digits), dart_ratio, crosses_sector, materiality_class and
     materiality_reason. Sectors differ if their digits do; `equivalent` counts combined sectors as one."""
     df = to_analyse(results)
-    codes = {"reported": blank(F.col("naics_code")), "suggested": blank(F.col("suggested_naics"))}
-    for side, code in codes.items():
-        df = cascade(df, code, rates, (6, 5, 4, 3, 2), f"{side}_dart_rate", f"{side}_dart_match")
-        df = has_prefix(df, code, targets, f"on_sst_{side}") if targets is not None else df.withColumn(f"on_sst_{side}", F.lit(False))
-        df = df.withColumn(f"{side}_sector", sector(code))
+    facts = code_facts(df, ("naics_code", "suggested_naics"), rates=rates, targets=targets)
+    for side, code in {"reported": "naics_code", "suggested": "suggested_naics"}.items():
+        names = {"rate": f"{side}_dart_rate", "match": f"{side}_dart_match"} | ({"on_target": f"on_sst_{side}"} if targets is not None else {})
+        df = with_facts(df, facts, code, names)
+        on = F.coalesce(f"on_sst_{side}", F.lit(False)) if targets is not None else F.lit(False)
+        df = df.withColumns({f"on_sst_{side}": on, f"{side}_sector": sector(blank(F.col(code)))})
     a, b = F.col("reported_sector"), F.col("suggested_sector")
     x, y = F.col("reported_dart_rate"), F.col("suggested_dart_rate")
     crosses = ~same_sector(a, b) if equivalent else a != b
     df = df.withColumns({"crosses_sector": crosses, "dart_ratio": relative_gap(x, y)})
     df = df.withColumn("materiality_class", materiality_class(x, y, F.col("crosses_sector"), F.col("on_sst_reported"), F.col("on_sst_suggested"), cfg))
-    ratio = F.concat(F.lit("DART ratio "), F.format_string("%.0f%%", F.col("dart_ratio") * 100))
-    change = F.format_string(" (%.1f -> %.1f)", x, y)
+    ratio = F.concat(F.lit("DART ratio "), rounded_text(F.col("dart_ratio") * 100, "0"), F.lit("%"))
+    change = F.concat(F.lit(" ("), rounded_text(x, "0.0"), F.lit(" -> "), rounded_text(y, "0.0"), F.lit(")"))
     reason = (
         F.when(F.col("on_sst_reported") != F.col("on_sst_suggested"), F.concat(F.lit("SST list crossing ("), F.when(F.col("on_sst_suggested"), "onto").otherwise("off of"), F.lit(" targeting list)")))
         .when(x.isNull() | y.isNull(), "DART rate not available for one or both codes")
@@ -79,20 +85,38 @@ def gap_summary(df: DataFrame, value: str = "dart_ratio") -> DataFrame:
     ).select(n.alias("n"), (F.col("s") / n).alias("mean"), "median", "p25", "p75", "p90")
 
 
-def tokenised(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """df with the token set of a text. Distinct texts are tokenised once where texts repeat."""
-    return df.withColumn(out, description_tokens(text))
+def code_facts(df: DataFrame, columns: tuple[str, ...], titles: DataFrame | None = None, rates: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Of each distinct code in the columns: fact_code, and by what is given tree, tokens and known of its titles; rate and
+    match of the rates, tried from six to two digits; on_target. Codes come again and again, so the lookups are made once a
+    code, and results take one join a side."""
+    facts = None
+    for c in columns:
+        side = df.select(filled(blank(F.col(c))).alias("fact_code"))
+        facts = side if facts is None else facts.unionByName(side)
+    facts = facts.where("fact_code is not null").distinct()
+    if titles is not None:
+        facts = title_tree(facts, F.col("fact_code"), titles, "tree", "known").withColumn("tokens", description_tokens(F.col("tree")))
+    if rates is not None:
+        facts = cascade(facts, F.col("fact_code"), rates, (6, 5, 4, 3, 2), "rate", "match")
+    return has_prefix(facts, F.col("fact_code"), targets, "on_target") if targets is not None else facts
+
+
+def with_facts(df: DataFrame, facts: DataFrame, code: str, names: dict[str, str]) -> DataFrame:
+    """df with the facts of its column `code`, under the names given. A blank code has none."""
+    side = facts.select("fact_code", *[F.col(k).alias(v) for k, v in names.items()])
+    return joined_filled(df.withColumn("fact_code", filled(blank(F.col(code)))), side, ["fact_code"]).drop("fact_code")
 
 
-def description_scores(df: DataFrame, titles: DataFrame) -> DataFrame:
+def description_scores(df: DataFrame, titles: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """df with r_score and s_score: the share of the description's tokens that the titles of the reported and of the
-    suggested code have; and the token sets."""
-    trees = title_tree(df.select(blank(F.col("naics_code")).alias("code")).unionByName(df.select(blank(F.col("suggested_naics")).alias("code"))).distinct(), F.col("code"), titles, "tree")
-    trees = trees.withColumn("tokens", description_tokens(F.col("tree")))
-    df = df.withColumn("desc_tokens", description_tokens(blank(F.col("industry_description"))))
+    suggested code have; the token sets, whether the reported code is known, and the codes' rates. Distinct descriptions
+    are tokenised once."""
+    none = F.array().cast("array<string>")
+    facts = code_facts(df, ("naics_code", "suggested_naics"), titles, rates)
+    df = by_values(df, {"text": filled(blank(F.col("industry_description")))}, "desc_tokens", description_tokens).withColumn("desc_tokens", F.coalesce("desc_tokens", none))
     for side, code in (("r", "naics_code"), ("s", "suggested_naics")):
-        t = trees.select(F.col("code").alias(f"{side}_code_"), F.col("tree").alias(f"{side}_tree"), F.col("tokens").alias(f"{side}_tokens"))
-        df = df.withColumn("own_code_", blank(F.col(code))).join(t, F.col("own_code_") == F.col(f"{side}_code_"), "left").drop("own_code_", f"{side}_code_")
+        names = {"tree": f"{side}_tree", "tokens": f"{side}_tokens", "known": f"{side}_known"} | ({"rate": f"{side}_rate"} if rates is not None else {})
+        df = with_facts(df, facts, code, names).withColumns({f"{side}_tree": F.coalesce(f"{side}_tree", F.lit("")), f"{side}_tokens": F.coalesce(f"{side}_tokens", none), f"{side}_known": F.coalesce(f"{side}_known", F.lit(False))})
         df = df.withColumn(f"{side}_score", overlap_score(F.col("desc_tokens"), F.col(f"{side}_tokens")))
     return df
 
@@ -140,33 +164,33 @@ def consistent_companies(results: DataFrame, cfg: Config = DEFAULT) -> DataFrame
 
 def triage(results: DataFrame, titles: DataFrame, rates: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """results with triage_tier and triage_reason: the first tier of the ladder that applies."""
-    company = F.lower(blank(first_filled(F.col("company_name"), F.col("establishment_name"))))
-    df = description_scores(results, titles)
-    df = df.withColumn("company_", company).join(consistent_companies(results, cfg).withColumnRenamed("company", "consistent_"), F.col("company_") == F.col("consistent_"), "left")
+    company = filled(F.lower(blank(first_filled(F.col("company_name"), F.col("establishment_name")))))
+    df = description_scores(results, titles, rates)
+    df = joined_filled(df.withColumn("company_", company), consistent_companies(results, cfg).withColumnRenamed("company", "company_"), ["company_"])
     a, b, url = blank(F.col("naics_code")), blank(F.col("suggested_naics")), blank(F.col("website_url"))
-    df = has_prefix(df, a, titles.select("code"), "known_")
     status, r, s = F.coalesce("scrape_match_status", F.lit("")), F.col("r_score"), F.col("s_score")
     low = F.lower(blank(F.col("scrape_confidence")))
     same = same_sector(sector(a), sector(b))
     signal = (blank(F.col("industry_description")) != "") & ((r > 0) | (s > 0))
-    known = F.col("known_")
+    known = F.col("r_known")
     nothing = status.isin("SCRAPE_FAILED", "NO_WEBSITE") | (b == "")
     move = F.concat(sector(a), F.lit("->"), sector(b))
-    two = lambda text, *cols: F.format_string(text, *cols)
+    two = lambda text, *cols: F.concat(*[x for part, c in zip(text.split("%"), [*cols, None], strict=True) for x in ([F.lit(part)] if c is None else [F.lit(part), c])])
+    r2, s2 = rounded_text(r, "0.00"), rounded_text(s, "0.00")
     ladder = [
         (status.isin(*RESOLVED), "T0_RESOLVED", F.concat(F.lit("Status: "), status)),
         ((a != "") & (b != "") & (a == b), "T1_SAME_CODE", F.lit("Suggested == reported (scraper confirmed)")),
         ((F.length(a) >= 4) & (F.length(b) >= 4) & (prefix(a, 4) == prefix(b, 4)), "T2_TRIVIAL_CORRECTION", F.concat(F.lit("Same 4-digit parent: "), prefix(a, 4))),
-        ((a != "") & (b != "") & F.col("consistent_").isNotNull(), "T2b_MULTI_ESTABLISHMENT_CONSISTENT", F.concat(F.col("sites").cast("string"), F.lit(" locations all report "), a, F.lit(", consistent self-reporting"))),
+        ((a != "") & (b != "") & F.col("sites").isNotNull(), "T2b_MULTI_ESTABLISHMENT_CONSISTENT", F.concat(F.col("sites").cast("string"), F.lit(" locations all report "), a, F.lit(", consistent self-reporting"))),
         (nothing & (status == "UNCERTAIN"), "T5f_NO_NAICS_SIGNAL", F.lit("Website scraped but no NAICS-identifying keywords found")),
         (nothing & (status == "SCRAPE_FAILED") & (url != ""), "T5e_WEBSITE_UNSCRAPEABLE", F.concat(F.lit("Website found ("), F.substring(url, 1, 50), F.lit(") but content extraction failed"))),
         (nothing, "T5_NO_ALTERNATIVE", F.concat(F.lit("Status: "), status, F.lit(", no suggestion to compare"))),
-        (signal & (r >= s) & known, "T3_DESC_SUPPORTS_REPORTED", two("Desc supports reported (r=%.2f >= s=%.2f)", r, s)),
-        (same & known, "T4_SAME_SECTOR", two("Same sector %s (r=%.2f, s=%.2f)", sector(a), r, s)),
+        (signal & (r >= s) & known, "T3_DESC_SUPPORTS_REPORTED", two("Desc supports reported (r=% >= s=%)", r2, s2)),
+        (same & known, "T4_SAME_SECTOR", two("Same sector % (r=%, s=%)", sector(a), r2, s2)),
         (~known, "T7a_INVALID_CODE", F.concat(F.lit("Reported "), a, F.lit(" not in NAICS tree"))),
         ((url != "") & listed(raw_domain(url), fixed.NONCREDIBLE_DOMAINS) & ~same, "T5c_NONCREDIBLE_URL", F.concat(F.lit("URL "), raw_domain(url), F.lit(" is not a company website, suggestion unreliable"))),
         ((F.lower(blank(F.col("url_source"))) == "guess") & (low == "low") & ~same, "T5d_LOW_CONFIDENCE_GUESS", F.concat(F.lit("URL from guess with low confidence, cross-sector "), move)),
-        (~same & (s > r), "T6_CROSS_SECTOR_CONTRADICTION", F.concat(two("Desc contradicts reported (r=%.2f < s=%.2f), crosses ", r, s), move)),
+        (~same & (s > r), "T6_CROSS_SECTOR_CONTRADICTION", two("Desc contradicts reported (r=% < s=%), crosses %", r2, s2, move)),
         (~signal & ~same, "T5b_NO_DESC_SIGNAL", F.concat(F.lit("No desc evidence, cross-sector "), move, F.lit(", conf="), low)),
     ]
     number = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), i) for i, (c, _, _) in enumerate(ladder, 1)], F.lit(len(ladder) + 1))
@@ -174,10 +198,8 @@ def triage(results: DataFrame, titles: DataFrame, rates: DataFrame | None = None
     tier = F.element_at(F.array(*[F.lit(t) for _, t, _ in ladder], F.lit("T8_OTHER")), F.col("tier_"))
     why = F.coalesce(*[F.when(F.col("tier_") == i, w) for i, (_, _, w) in enumerate(ladder, 1)], F.lit("Unclassified"))
     if rates is not None:  # the rates' gap is part of a contradiction's reason
-        for side, code in (("r", a), ("s", b)):
-            df = cascade(df, code, rates, (6, 5, 4, 3, 2), f"{side}_dart_")
-        gap = relative_gap(F.col("r_dart_"), F.col("s_dart_"))
-        why = F.when((tier == "T6_CROSS_SECTOR_CONTRADICTION") & gap.isNotNull(), F.concat(why, F.format_string(", DART ratio=%.0f%%", gap * 100))).otherwise(why)
+        gap = relative_gap(F.col("r_rate"), F.col("s_rate"))
+        why = F.when((tier == "T6_CROSS_SECTOR_CONTRADICTION") & gap.isNotNull(), F.concat(why, F.lit(", DART ratio="), rounded_text(gap * 100, "0"), F.lit("%"))).otherwise(why)
     return df.withColumns({"triage_tier": tier, "triage_reason": why}).select(*results.columns, "triage_tier", "triage_reason")
 
 

@@ -9,7 +9,7 @@ from gatework.config import DEFAULT, Config
 from gatework.functions import fixed, rules
 from gatework.functions.codes import keyword_score, prefix
 from gatework.functions.text import blank, company_key, filled, first_filled, listed_codes, page_tokens, plain_key
-from gatework.operators.lookup import code_status, first_by, keyword_index, last_titles
+from gatework.operators.lookup import by_values, code_status, first_by, keyword_index, last_titles
 
 HARD_FLAGS = ("flag_invalid_naics_code", "flag_name_naics_mismatch", "flag_naics_count_anomaly")
 NOT_USEFUL = ("SCRAPE_FAILED", "NO_WEBSITE", "")
@@ -21,7 +21,7 @@ def classify(records: DataFrame, corrections: list[rules.Rule] | None = None) ->
     table = corrections or rules.corrections()
     name = first_filled(F.col("establishment_name"), F.col("company_name"))
     code = F.coalesce(F.col("naics_code"), F.lit(""))
-    df = records.withColumn("rule_", F.when((name != "") & (F.length(code) >= 2), rules.first_match(name, table)))
+    df = by_values(records, {"name": F.when((name != "") & (F.length(code) >= 2), name)}, "rule_", lambda name: rules.first_match(name, table))
     n, own = F.col("rule_"), prefix(code, 2)
     allowed = rules.pick([F.array(*map(F.lit, r.sectors)) for r in table], n)
     right, title = rules.pick([F.lit(r.code) for r in table], n), rules.pick([F.lit(r.title) for r in table], n)
@@ -241,10 +241,15 @@ def without_junk(results: DataFrame, domains: DataFrame) -> DataFrame:
 def known_companies(results: DataFrame, table: DataFrame) -> DataFrame:
     """Unresolved results of companies in a curated table (company_id, pattern, unit_pattern, codes, code, title, ord): the
     reported code is confirmed if it is one of the company's, else the company's code is suggested. The first entry whose
-    patterns the company and the establishment have counts; the table is an exceptions list, so it is matched as a
-    theta join over distinct names."""
+    patterns the company and the establishment have counts. A pattern with a whole word in it, outside of alternatives and
+    options, meets the distinct names that have the word only; the others, exceptions of an exceptions list, meet all."""
     names = results.select("company_name", "establishment_name").distinct()
-    pairs = names.join(table, F.expr("lower(coalesce(company_name, '')) rlike pattern") & F.expr("unit_pattern is null or lower(coalesce(establishment_name, '')) rlike unit_pattern"))
+    word = F.regexp_extract("pattern", r"(?:^|\\s\+)?\\b([a-z0-9]+)\\b", 1)
+    table = table.withColumn("word_", F.when(~F.col("pattern").rlike(r"[|?*{\[(]") & (word != ""), word))
+    met = F.expr("lower(coalesce(company_name, '')) rlike pattern") & F.expr("unit_pattern is null or lower(coalesce(establishment_name, '')) rlike unit_pattern")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("company_name", F.lit(""))), F.lit(r"(\w+)")))
+    pairs = names.withColumn("word_", F.explode(words)).join(table.where("word_ is not null"), "word_").where(met)
+    pairs = pairs.unionByName(names.withColumn("word_", F.lit("")).join(table.where("word_ is null").drop("word_"), met))
     best = pairs.groupBy("company_name", "establishment_name").agg(F.min(F.struct("ord", "company_id", "codes", "code", "title")).alias("kc_"))
     left, right = results.alias("l"), best.alias("r")
     same = F.col("l.company_name").eqNullSafe(F.col("r.company_name")) & F.col("l.establishment_name").eqNullSafe(F.col("r.establishment_name"))

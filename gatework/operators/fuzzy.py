@@ -1,8 +1,11 @@
-"""Fuzzy matching of names within blocks.
+"""Fuzzy matching of names, exact for its threshold.
 
 Scores are token-sort ratios: 200 times the longest common subsequence of the names, their words sorted, over the sum of
-their lengths. Pairs meet only in a block (the same state, or a shared word) and pass two necessary bounds, on lengths and
-on Levenshtein distance, before the ratio itself is computed on Arrow batches.
+their lengths. No pair that reaches the threshold is lost, and not all pairs are made. A common subsequence of s letters in
+names of m and n keeps at least 3 s - 1 - m - n pairs of neighbouring letters, as each letter outside of it parts two of
+its neighbours at most. So names that reach the threshold share so many letter pairs, and share one of the rarest of
+each (prefix filter); names too short for that meet by single letters. Candidates meet on a block and such a token, and
+pass bounds on lengths and on the edit distance, before the ratio itself is computed on Arrow batches.
 """
 
 from __future__ import annotations
@@ -46,27 +49,52 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     return (F.least(la, lb) >= share * F.greatest(la, lb)) & (F.levenshtein(a, b) <= room)
 
 
-def best_matches(left: DataFrame, right: DataFrame, block: str, threshold: float, least_length: int = 3) -> DataFrame:
-    """(key, match, score) of each left row (key, block, name) and the best right row (match, block, name) of its block with
-    at least the threshold; the smallest match among equals. Distinct names of a block are compared once."""
-    a = left.select(block, F.col("name").alias("name_a")).where(F.length("name_a") >= least_length).distinct().withColumn("a", sorted_words(F.col("name_a")))
-    b = right.select(block, F.col("name").alias("name_b"), "match").where("name_b <> ''").groupBy(block, "name_b").agg(F.min("match").alias("match")).withColumn("b", sorted_words(F.col("name_b")))
-    pairs = a.join(b, block).where(may_reach(F.col("a"), F.col("b"), threshold))
-    scored = pairs.withColumn("score", ratio("a", "b")).where(F.col("score") >= threshold)
-    best = first_by(scored, [block, "name_a"], [F.col("score").desc(), F.col("match")]).select(block, F.col("name_a").alias("name"), "match", "score")
-    return left.select("key", block, "name").join(best, [block, "name"]).select("key", "match", "score")
-
-
-def word_blocks(df: DataFrame) -> DataFrame:
-    """A row for each distinct word of `name`, as `block`: names that share none are not compared. With typos in every word
-    a pair can be lost; blocking by a column that both sides share in full loses none."""
-    return df.withColumn("block", F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != ""))))
-
-
-def best_by_word(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(key, match, score) as best_matches, blocked by shared words."""
-    found = best_matches(word_blocks(left), word_blocks(right), "block", threshold, 1)
-    return first_by(found, ["key"], [F.col("score").desc(), F.col("match")])
+def least_shared(length: Column, threshold: float) -> Column:
+    """How many letter pairs a name of that length shares at least with any name at the threshold. s is threshold / 200 of
+    m + n at least, so 3 s - 1 - m - n is least for the shortest name it may reach. Not positive: none need be shared."""
+    both = length * (200.0 / (200.0 - threshold))
+    return F.ceil(both * (3 * threshold / 200.0 - 1) - 1 - 1e-9)
+
+
+def letter_pairs(name: Column) -> Column:
+    """The pairs of neighbouring letters, each with its number among equal ones: `an1`, `an2`."""
+    pairs = F.when(F.length(name) > 1, F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(pairs, lambda p, i: F.concat(p, (F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda q: q == p)) + 1).cast("string")))
+
+
+def tokens(names: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
+    """(block, name, sorted, token): the rarest letter pairs of each name, as many as the prefix filter needs, and single
+    letters of a name that may share no pair."""
+    weak = least_shared(F.length("sorted"), threshold) <= 0
+    each = names.select("block", "name", "sorted", F.explode(letter_pairs(F.col("sorted"))).alias("token")).join(rarity, "token")
+    ordered = each.groupBy("block", "name", "sorted").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    need = F.when(weak, F.size("t")).otherwise(F.size("t") - least_shared(F.length("sorted"), threshold) + 1)
+    pairs = ordered.select("block", "name", "sorted", F.explode(F.slice("t", F.lit(1), F.greatest(need, F.lit(1)).cast("int"))).alias("t")).select("block", "name", "sorted", F.col("t.token").alias("token"))
+    letters = names.where(weak).select("block", "name", "sorted", F.explode(F.array_distinct(F.split("sorted", ""))).alias("token"))
+    return pairs.unionByName(letters.where("token <> ''"))
+
+
+def best_matches(left: DataFrame, right: DataFrame, block: str | None, threshold: float, least_length: int = 3) -> DataFrame:
+    """(key, match, score) of each left row (key, block, name) and the best right row (match, block, name) of its block, or
+    of all where block is None, with at least the threshold; the smallest match among equals. Distinct names are compared
+    once. Rows without a name match nothing."""
+    if not 200 / 3 < threshold <= 100:
+        raise ValueError("the threshold must be over 66.7")
+    of = (lambda df: df.withColumn("block", F.col(block))) if block else (lambda df: df.withColumn("block", F.lit("")))
+    rows = of(left).select("key", "block", "name").where(F.length("name") >= least_length)
+    a = rows.select("block", "name").distinct().withColumn("sorted", sorted_words(F.col("name"))).where("sorted <> ''")
+    b = of(right).where("name <> ''").groupBy("block", "name").agg(F.min("match").alias("match")).withColumn("sorted", sorted_words(F.col("name"))).where("sorted <> ''")
+    b = b.groupBy("block", "sorted").agg(F.min("match").alias("match")).withColumn("name", F.col("sorted"))
+    a_sorted = a.select("block", "sorted").distinct().withColumn("name", F.col("sorted"))
+    rarity = a_sorted.select("sorted").unionByName(b.select("sorted")).select(F.explode(letter_pairs(F.col("sorted"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    ta, tb = (tokens(x, rarity, threshold).select("block", "token", F.col("sorted").alias(n)) for x, n in ((a_sorted, "a"), (b, "b")))
+    share = threshold / (200.0 - threshold)
+    la, lb = F.length("a"), F.length("b")
+    met = ta.join(tb, ["block", "token"]).where(F.least(la, lb) >= share * F.greatest(la, lb)).select("block", "a", "b").distinct()
+    scored = met.where(may_reach(F.col("a"), F.col("b"), threshold)).withColumn("score", ratio("a", "b")).where(F.col("score") >= threshold)
+    found = scored.join(b.select("block", F.col("sorted").alias("b"), "match"), ["block", "b"])
+    best = first_by(found, ["block", "a"], [F.col("score").desc(), F.col("match")]).select("block", F.col("a").alias("sorted"), "match", "score")
+    return rows.join(a, ["block", "name"]).join(best, ["block", "sorted"]).select("key", "match", "score")
 
 
 def review(matches: DataFrame, most: int = 20) -> DataFrame:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gatework.config import DEFAULT, Config
 from gatework.functions import fixed, rules
 from gatework.functions.codes import incident_rate, prefix
-from gatework.functions.text import first_filled, number, strip
-from gatework.operators.lookup import cascade, member
+from gatework.functions.text import filled, first_filled, number, strip
+from gatework.operators.lookup import by_values, cascade, member
 
 
 def flag(c: Column) -> Column:
@@ -43,16 +44,17 @@ def name_gate(records: DataFrame, name_rules: list[rules.Rule] | None = None) ->
     """Gate 3: the name has a rule's pattern, and the sector is none of that rule's. Any rule counts."""
     name = first_filled(F.col("establishment_name"), F.col("company_name"))
     c = F.coalesce(F.col("naics_code"), F.lit(""))
-    broken = rules.breaks_any(name, prefix(c, 2), name_rules or rules.name_rules())
-    return records.withColumn("flag_name_naics_mismatch", flag((name != "") & (F.length(c) >= 2) & broken))
+    table, enough = name_rules or rules.name_rules(), (name != "") & (F.length(c) >= 2)
+    df = by_values(records, {"name": F.when(enough, name), "sector": prefix(c, 2)}, "broken_", lambda name, sector: rules.breaks_any(name, sector, table))
+    return df.withColumn("flag_name_naics_mismatch", flag(F.col("broken_"))).drop("broken_")
 
 
 def entity_gate(records: DataFrame, key: str = "ein", value: str = "naics_code", out: str = "flag_ein_multi_naics") -> DataFrame:
     """Gate 4: the entity has records of more than one code; an empty code counts, a blank entity doesn't. Two codes differ
     if the smallest and the largest do, which partial aggregates settle."""
-    k = strip(F.col(key))
+    k = filled(strip(F.col(key)))
     v = F.coalesce(F.col(value), F.lit(""))
-    many = records.where(F.coalesce(k, F.lit("")) != "").groupBy(k.alias("entity_")).agg(F.min(v).alias("low_"), F.max(v).alias("high_")).where("low_ <> high_").select("entity_")
+    many = records.where(k.isNotNull()).groupBy(k.alias("entity_")).agg(F.min(v).alias("low_"), F.max(v).alias("high_")).where("low_ <> high_").select("entity_")
     return member(records, k, many, out).withColumn(out, flag(F.col(out)))
 
 
@@ -69,10 +71,22 @@ def rarity_gate(records: DataFrame, keys: tuple[str, ...] = ("naics_code",), bel
 
 def size_bounds(records: DataFrame, key: str, value: Column, cfg: Config = DEFAULT, floor: float | None = None) -> DataFrame:
     """(key, size_low_, size_high_, size_median_): exact quartiles of values from the floor on, three interquartile ranges
-    away; only of groups of ten or more. Partial aggregates hold a count for each distinct value."""
+    away; only of groups of ten or more. Values are counted, then found by their ranks, so that no buffer holds a group."""
     least = cfg.size_floor if floor is None else floor
-    kept = records.select(F.col(key).alias("size_key_"), value.alias("size_v_")).where(F.col("size_v_") >= least)
-    q = kept.groupBy("size_key_").agg(F.percentile("size_v_", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.count("*").alias("n")).where(F.col("n") >= cfg.size_group)
+    kept = records.select(F.col(key).alias("size_key_"), value.cast("double").alias("size_v_")).where((F.col("size_v_") >= least) & F.col("size_key_").isNotNull())
+    counts = kept.groupBy("size_key_", "size_v_").agg(F.count("*").alias("n"))
+    large = counts.groupBy("size_key_").agg(F.sum("n").alias("size_n_")).where(F.col("size_n_") >= cfg.size_group)
+    upto = F.sum("n").over(Window.partitionBy("size_key_").orderBy("size_v_").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.join(large, "size_key_").withColumn("upto", upto)
+    last = F.col("size_n_") - 1
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("size_v_")))
+    shares = (0.25, 0.5, 0.75)
+    low = [at(F.floor(last * p)).alias(f"low{i}") for i, p in enumerate(shares)]
+    high = [at(F.ceil(last * p)).alias(f"high{i}") for i, p in enumerate(shares)]
+    q = ranked.groupBy("size_key_", "size_n_").agg(*low, *high)
+    between = lambda i, p: (F.ceil(last * p) - last * p) * F.col(f"low{i}") + (last * p - F.floor(last * p)) * F.col(f"high{i}")
+    exact = [F.when(F.col(f"low{i}") == F.col(f"high{i}"), F.col(f"low{i}")).otherwise(between(i, p)) for i, p in enumerate(shares)]
+    q = q.select("size_key_", F.array(*exact).alias("q"))
     q1, q3 = F.col("q")[0], F.col("q")[2]
     return q.select(
         "size_key_", F.greatest(F.lit(float(least)), q1 - cfg.size_iqrs * (q3 - q1)).alias("size_low_"), (q3 + cfg.size_iqrs * (q3 - q1)).alias("size_high_"), F.col("q")[1].alias("size_median_")

@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from gatework.functions.codes import prefix
 from gatework.functions.text import strip
 
 
+def joined_filled(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """df left-joined with the table on keys that both have. A row with a null key meets nothing; such rows may be many, so
+    where they are shuffled, each goes by all of its values and not to the one task of the nulls."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, MapType)]
+    left = df.withColumn("join_salt_", F.when(null, F.xxhash64(*plain)).otherwise(F.lit(0).cast("long")))
+    return left.join(table.withColumn("join_salt_", F.lit(0).cast("long")), [*keys, "join_salt_"], "left").drop("join_salt_")
+
+
+def by_values(df: DataFrame, columns: dict[str, Column], out: str, of: Callable[..., Column]) -> DataFrame:
+    """df with `out`, of(*columns) of each distinct combination of the columns, for what costs more than a join and comes
+    again and again. A combination with a null has null."""
+    names = [f"by_{n}_" for n in columns]
+    whole = F.lit(True)
+    for c in columns.values():
+        whole = whole & c.isNotNull()
+    keyed = df.withColumns({n: F.when(whole, c) for n, c in zip(names, columns.values(), strict=True)})
+    found = keyed.select(*names).where(F.col(names[0]).isNotNull()).distinct()
+    return joined_filled(keyed, found.withColumn(out, of(*map(F.col, names))), names).drop(*names)
+
+
 def member(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
     """df with `flag`: whether key is in the one column of keys. A null key is in none."""
-    name = keys.columns[0]
-    found = keys.select(F.col(name).alias("member_key_")).where("member_key_ is not null").distinct().withColumn(flag, F.lit(True))
-    return df.withColumn("lookup_key_", key).join(found, F.col("lookup_key_") == F.col("member_key_"), "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("lookup_key_", "member_key_")
+    found = keys.select(F.col(keys.columns[0]).alias("lookup_key_")).where("lookup_key_ is not null").distinct().withColumn(flag, F.lit(True))
+    return joined_filled(df.withColumn("lookup_key_", key), found, ["lookup_key_"]).withColumn(flag, F.coalesce(flag, F.lit(False))).drop("lookup_key_")
 
 
 def cascade(df: DataFrame, code: Column, table: DataFrame, lengths: tuple[int, ...], value: str, matched: str | None = None, on: tuple[str, ...] = ()) -> DataFrame:
@@ -43,15 +68,19 @@ def has_prefix(df: DataFrame, code: Column, keys: DataFrame, flag: str, lengths:
     return cascade(df, code, table, lengths, flag).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def title_tree(df: DataFrame, code: Column, titles: DataFrame, tree: str) -> DataFrame:
-    """df with `tree`: the titles (code, title) of code and its prefixes, from six to two digits, joined by spaces."""
+def title_tree(df: DataFrame, code: Column, titles: DataFrame, tree: str, known: str | None = None) -> DataFrame:
+    """df with `tree`: the titles (code, title) of code and its prefixes, from six to two digits, joined by spaces; and with
+    `known`: whether there is any."""
     parts = []
     df = df.withColumn("tree_code_", strip(code))
     for n in (6, 5, 4, 3, 2):
         side = titles.select(F.col("code").alias(f"tree_c{n}_"), F.col("title").alias(f"tree_t{n}_"))
         df = df.join(side, prefix(F.col("tree_code_"), n) == F.col(f"tree_c{n}_"), "left")
         parts.append(n)
-    return df.withColumn(tree, F.concat_ws(" ", *[f"tree_t{n}_" for n in parts])).drop("tree_code_", *[f"tree_{x}{n}_" for n in parts for x in "ct"])
+    df = df.withColumn(tree, F.concat_ws(" ", *[f"tree_t{n}_" for n in parts]))
+    if known:
+        df = df.withColumn(known, F.coalesce(*[F.col(f"tree_c{n}_") for n in parts]).isNotNull())
+    return df.drop("tree_code_", *[f"tree_{x}{n}_" for n in parts for x in "ct"])
 
 
 def valid_codes(lists: DataFrame) -> DataFrame:

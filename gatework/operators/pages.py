@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gatework.config import DEFAULT, Config
 from gatework.functions import fixed
@@ -109,27 +112,45 @@ def guessed_urls(company: Column, city: Column) -> Column:
     return F.when(F.size(words) == 0, none).otherwise(F.array_distinct(F.array_compact(F.concat(special, F.array(*usual)))))
 
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: An element's attributes: name and value, quoted or not.
+ATTRIBUTES = r"""([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+META = r"""(?is)<meta\b([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>"""
 
 
-def tag_content(html: Column, pattern: str) -> Column:
-    return filled(strip(F.regexp_extract(html, pattern, 1)))
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references decoded, once."""
+    return text.map(html.unescape, na_action="ignore")
 
 
-def html_text(html: Column) -> Column:
-    """Description, title, og:description and body text, without eight kinds of elements, white space collapsed. Common
-    character references are decoded."""
-    body = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in a start tag, its attributes in any order and quoting; null if it has none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTES), F.lit(1)), F.lower)
+    place = F.array_position(names, name).cast("int")
+    value = F.when(place > 0, F.element_at(F.regexp_extract_all(tag, F.lit(ATTRIBUTES), F.lit(2)), place))
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
+
+
+def meta_content(page: Column, name: str, value: str) -> Column:
+    """The content of the first meta element whose attribute has the value."""
+    tags = F.filter(F.regexp_extract_all(page, F.lit(META), F.lit(1)), lambda t: attribute(t, name) == value)
+    return filled(strip(attribute(F.get(tags, F.lit(0)), "content")))
+
+
+def tag_content(page: Column, pattern: str) -> Column:
+    return filled(strip(F.regexp_extract(page, pattern, 1)))
+
+
+def html_text(page: Column) -> Column:
+    """Description, title, og:description and body text, without eight kinds of elements, white space collapsed and
+    character references decoded."""
+    body = F.regexp_replace(page, r"(?is)<!--.*?-->", " ")
     title = tag_content(body, r"(?is)<title[^>]*>(.*?)</title\s*>")
+    meta, og = meta_content(body, "name", "description"), meta_content(body, "property", "og:description")
     for tag in ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"):
         body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    meta = tag_content(html, r"""(?is)<meta\s[^>]*name=["']description["'][^>]*content=["']([^"']*)["']""")
-    og = tag_content(html, r"""(?is)<meta\s[^>]*property=["']og:description["'][^>]*content=["']([^"']*)["']""")
     inner = filled(strip(F.regexp_replace(F.regexp_extract(body, r"(?is)<body[^>]*>(.*?)(?:</body\s*>|$)", 1), r"(?s)<[^>]*>", " ")))
-    text = F.concat_ws(" ", meta, title, og, inner)
-    for name, mark in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(mark))
-    return strip(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(unescaped(F.concat_ws(" ", meta, title, og, inner)), r"(?U)\s+", " "))
 
 
 def scraped(pages: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

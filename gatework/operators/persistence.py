@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,10 +21,16 @@ def error_type(code: Column, invalid: Column) -> Column:
     )
 
 
-def combined(records: DataFrame, flagged: DataFrame, triaged: DataFrame) -> DataFrame:
-    """Records of all years, one an id and year (the first by ord), with the invalid flag, the tier and error_type."""
-    df = first_by(records, ["year", "id"], [F.col("ord")])
-    df = df.join(flagged.select("year", "id", "flag_invalid_naics_code"), ["year", "id"], "left").join(triaged.select("year", "id", "triage_tier"), ["year", "id"], "left")
+def records_of_years(records: DataFrame) -> DataFrame:
+    """Records of all years, one an id and year: the first by ord."""
+    return first_by(records, ["year", "id"], [F.col("ord")])
+
+
+def combined(records: DataFrame, flagged: DataFrame, triaged: DataFrame | None = None) -> DataFrame:
+    """Records of all years, one an id and year, with the invalid flag, the tier if triaged ones are given, and error_type."""
+    df = records_of_years(records).join(flagged.select("year", "id", "flag_invalid_naics_code"), ["year", "id"], "left")
+    if triaged is not None:
+        df = df.join(triaged.select("year", "id", "triage_tier"), ["year", "id"], "left")
     return df.withColumn("error_type", error_type(F.col("naics_code"), F.coalesce(F.col("flag_invalid_naics_code") == 1, F.lit(False))))
 
 
@@ -98,17 +106,19 @@ def chronic_downshifters(s: DataFrame) -> DataFrame:
     return a.where("n_downshifts >= 2").withColumns({"company_name": F.substring("company_name", 1, 200), "years_active": F.array_join(F.array_sort("y"), ", ")}).drop("y")
 
 
-def persistence_summary(df: DataFrame, s: DataFrame, years: int = 4) -> DataFrame:
-    """(metric, value) over records, shifts, repeat reporters and establishments. Both inputs are read several times, so
-    their needed columns are kept while the query runs."""
-    df = df.select("ein", "year", "establishment_id", "error_type", "company_name", "establishment_name", "state").persist()
-    s = s.select("ein", "establishment_id", "company_name", "state", "year_from", "year_to", "shift_type", "direction", "employees", "dart_delta").persist()
-    reporters = placeholder_reporters(df).select("ein")
-    nines = df.where("error_type = 'PLACEHOLDER_999999'")
+def persistence_summary(df: DataFrame, s: DataFrame, years: int = 4, keep: Callable[[DataFrame, str], DataFrame] = lambda df, what: df) -> DataFrame:
+    """(metric, value) over records, shifts, repeat reporters and establishments. Both inputs are read several times: `keep`
+    may write what it is given as a table and return that."""
+    nine = F.col("error_type") == "PLACEHOLDER_999999"
+    df = df.groupBy("ein", "establishment_id", "year").agg(F.count("*").alias("n"), F.sum(nine.cast("long")).alias("nines"))
+    df = keep(df, "years")
+    s = keep(s.select("ein", "shift_type", "direction", "establishment_id", "company_name", "state", "year_from", "year_to", "employees", "dart_delta"), "shifts")
+    nines = df.where("nines > 0")
+    reporters = nines.where("ein is not null").groupBy("ein").agg(F.count_distinct("year").alias("y")).where("y >= 2").select("ein")
     est = df.where("establishment_id is not null").groupBy("establishment_id").agg(F.count_distinct("year").alias("y"))
     one = lambda d, *aggs: d.agg(*aggs)
     parts = [
-        one(df, F.count("*").alias("total_records"), F.sum((F.col("error_type") == "PLACEHOLDER_999999").cast("long")).alias("total_999999_all_years")),
+        one(df, F.sum("n").alias("total_records"), F.sum("nines").alias("total_999999_all_years")),
         one(reporters, F.count("*").alias("eins_999999_multi_year")),
         one(nines.join(reporters, "ein", "left_semi"), F.count_distinct("establishment_id").alias("establishments_999999_multi_year")),
         one(s, F.sum((F.col("shift_type") == "CROSS_SECTOR_SHIFT").cast("long")).alias("total_cross_sector_shifts"), F.sum((F.col("shift_type").isin(*CHANGES) & (F.col("direction") == "DOWNWARD_SHIFT")).cast("long")).alias("total_downward_shifts")),

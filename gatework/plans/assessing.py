@@ -47,7 +47,8 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = derived(spark, sf_dir, "results").where("ord % 3 <> 0")
+    """Of all records, those up to 1999 with results."""
+    results = derived(spark, sf_dir, "results").where("year <= '1999'")
     return assess.resolution(enrich.classify(flagged(spark, sf_dir)), results)
 
 
@@ -70,6 +71,7 @@ QUERIES = {
     "q_token_overlap": lambda spark, sf_dir: token_overlap(spark, sf_dir).withColumn("score", F.round("score", 9)),
     "q_consistent_companies": lambda spark, sf_dir: assess.consistent_companies(derived(spark, sf_dir, "results")),
     "q_triage_ladder": lambda spark, sf_dir: triaged(spark, sf_dir).select("id", "triage_tier"),
+    "q_triage_reasons": lambda spark, sf_dir: triaged(spark, sf_dir).select("id", "triage_tier", "triage_reason"),
     "q_tier_group": lambda spark, sf_dir: triaged(spark, sf_dir).groupBy("triage_tier").agg(F.count("*").alias("n")).withColumn("tier_group", assess.tier_group(F.col("triage_tier"))),
     "q_resolution_summary": resolution,
     "q_batch_qa": lambda spark, sf_dir: assess.batch_quality(derived(spark, sf_dir, "results"), codes(spark, sf_dir)),
@@ -94,9 +96,10 @@ SELECT n, round(list_sum(v) / n, 9) AS mean, round((v[(n - 1) // 2 + 1] + v[n //
     ),
     "q_consistent_companies": with_sources(f"WITH {q.CONSISTENT} SELECT * FROM consistent", "results"),
     "q_triage_ladder": with_sources(f"WITH {q.SCORED}, {q.TRIAGED} SELECT id, triage_tier FROM triaged", "results", "codes"),
+    "q_triage_reasons": with_sources(f"WITH {q.SCORED}, {q.TRIAGED}, {q.REASONED} SELECT id, triage_tier, triage_reason FROM reasoned", "results", "codes", "rates"),
     "q_tier_group": with_sources(f"WITH {q.SCORED}, {q.TRIAGED} SELECT triage_tier, count(*) AS n, {q.GROUP} AS tier_group FROM triaged GROUP BY triage_tier", "results", "codes"),
     "q_resolution_summary": with_sources(
-        f"""WITH {q.FLAGGED}, {q.CLASSIFIED}, web AS (SELECT id AS wid, scrape_match_status AS w FROM results WHERE ord % 3 <> 0)
+        f"""WITH {q.FLAGGED}, {q.CLASSIFIED}, web AS (SELECT id AS wid, scrape_match_status AS w FROM results WHERE year <= '1999')
 SELECT CASE WHEN match_status = 'CORRECTED' THEN 'CORRECTED (keyword rule)' WHEN n_flags = 0 THEN 'CLEAN (0 flags)' WHEN n_flags = 1 AND match_status = 'CONFIRMED' THEN 'CONFIRMED (1 flag, classifier OK)'
  WHEN w IN ('CONFIRMED', 'EDGAR_CONFIRMED', 'SAM_CONFIRMED') THEN 'CONFIRMED (web/EDGAR/SAM)' WHEN w IN ('SUGGESTED', 'EDGAR_SUGGESTED', 'SAM_SUGGESTED') THEN 'SUGGESTED (needs review)' WHEN w = 'UNCERTAIN' THEN 'UNCERTAIN (inconclusive)'
  WHEN w IN ('SCRAPE_FAILED', 'NO_WEBSITE') THEN 'UNRESOLVED (no data)' WHEN w IS NOT NULL THEN 'OTHER (' || w || ')' ELSE 'UNCERTAIN (not in scrape results)' END AS resolution, count(*) AS n FROM classified LEFT JOIN web ON id = wid GROUP BY 1""",

@@ -61,18 +61,18 @@ def status_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of every tenth record, given to all records of their companies."""
-    results, records = derived(spark, sf_dir, "results").where("ord % 10 = 0"), derived(spark, sf_dir, "records")
+    """Results of the records up to 1997, given to all records of their companies."""
+    results, records = derived(spark, sf_dir, "results").where("year <= '1997'"), derived(spark, sf_dir, "records")
     out = enrich.fanned_out(results, records, lookup.last_titles(derived(spark, sf_dir, "codes")))
     return out.select("id", "scrape_match_status", "suggested_naics", "website_url", "naics_code_status")
 
 
-def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts' names matched to suppliers of another spelling within a brand."""
+def near_names(spark: SparkSession, sf_dir: str, block: str | None = "block") -> DataFrame:
+    """Parts of even keys matched with those of odd keys in another spelling, within a brand or among all."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     left = parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("block"), F.upper("p_name").alias("name"))
     right = parts.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("match"), F.col("p_brand").alias("block"), F.upper(F.concat("p_name", F.lit("s"))).alias("name"))
-    return fuzzy.best_matches(left, right, "block", 85.0).withColumn("score", F.round("score", 6))
+    return fuzzy.best_matches(left, right, block, 85.0 if block else 80.0).withColumn("score", F.round("score", 6))
 
 
 def near_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +121,7 @@ QUERIES = {
     "q_fanout": fan_out,
     "q_known_companies": known,
     "q_fuzzy_bucket": near_names,
+    "q_fuzzy_global": lambda s, d: near_names(s, d, None),
     "q_fuzzy_bounds": near_bounds,
 }
 ORACLES = {
@@ -159,8 +160,8 @@ SELECT id, CASE WHEN p = '' AND len(l) = 0 THEN 'SAM_NO_NAICS' WHEN p = r OR lis
     ),
     "q_best_of_company": with_sources(f"SELECT {KEY} AS name_key, scrape_match_status, suggested_naics FROM results WHERE {KEY} <> '' QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY {CHOICE} DESC, ord) = 1", "results"),
     "q_fanout": with_sources(
-        f"""WITH seen AS (SELECT * FROM results WHERE ord % 10 = 0), best AS (SELECT {KEY} AS k, * FROM seen WHERE {KEY} <> '' QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY {CHOICE} DESC, ord) = 1),
-last AS (SELECT DISTINCT code FROM codes), r AS (SELECT id, naics_code, {KEY} AS k FROM records WHERE ord % 10 <> 0)
+        f"""WITH seen AS (SELECT * FROM results WHERE year <= '1997'), best AS (SELECT {KEY} AS k, * FROM seen WHERE {KEY} <> '' QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY {CHOICE} DESC, ord) = 1),
+last AS (SELECT DISTINCT code FROM codes), r AS (SELECT id, naics_code, {KEY} AS k FROM records WHERE year > '1997')
 SELECT id, scrape_match_status, suggested_naics, website_url, naics_code_status FROM seen UNION ALL
 SELECT r.id, scrape_match_status, suggested_naics, website_url, CASE WHEN r.naics_code = '' THEN naics_code_status WHEN length(r.naics_code) = 6 AND r.naics_code IN (SELECT code FROM last) THEN 'current'
  WHEN {' OR '.join(f'substring(r.naics_code, 1, {n}) IN (SELECT code FROM last)' for n in (5, 4, 3, 2))} THEN 'retired' ELSE 'invalid' END FROM r JOIN best ON r.k = best.k""",

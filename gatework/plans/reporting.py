@@ -12,7 +12,9 @@ from gatework.plans.assessing import contradicted, material, triaged
 from gatework.plans.derived import derived, with_sources
 from gatework.plans.gating import flagged
 
-YEARS = ["1995", "1996", "1997", "1998"]
+#: All years of the derived records.
+YEARS = ["1995", "1996", "1997", "1998", "1999", "2000", "2001"]
+HALF = len(YEARS) // 2
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -43,12 +45,16 @@ def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What reviewers get for the results of every fiftieth order."""
-    rows = triaged(spark, sf_dir).where("ord % 50 = 0")
+    """What reviewers would get for all results."""
+    rows = triaged(spark, sf_dir)
     sample = rows.select("id", "suggested_naics", "triage_tier", F.element_at(F.array(*map(F.lit, fixed.STRATA)), (F.col("ord") % 5 + 1).cast("int")).alias("stratum"))
     return validation.review_sheet(sample, derived(spark, sf_dir, "records")).drop("reviewer_naics", "reviewer_notes")
 
 
+def half_mean(column: str, years: list[str]) -> str:
+    return f"(({' + '.join(f'{column}{y}' for y in years)}) / {len(years)}.0::DOUBLE)"
+
+
 def both(spark: SparkSession, sf_dir: str):
     return flagged(spark, sf_dir), YEARS
 
@@ -96,7 +102,7 @@ ORACLES = {
     "q_r1_overview": with_sources(f"WITH {FULL}, {OVERVIEW} SELECT * FROM o", *ALL),
     "q_r2_flag_prevalence": with_sources(
         f"WITH {q.FLAGGED}, l AS ({' UNION ALL '.join(f'SELECT {chr(39)}{label}{chr(39)} AS flag_name, year, {c} AS v FROM flagged' for c, label in fixed.FLAGS.items())}), "
-        f"w AS (SELECT flag_name, {PER(f'sum(v) FILTER (year = {chr(39)}{y}{chr(39)})::BIGINT AS count_{y}' for y in YEARS)} FROM l GROUP BY 1) SELECT *, {TREND.replace('{a}', '((count_1995 + count_1996) / 2.0::DOUBLE)').replace('{b}', '((count_1997 + count_1998) / 2.0::DOUBLE)')} AS trend_direction FROM w",
+        f"w AS (SELECT flag_name, {PER(f'sum(v) FILTER (year = {chr(39)}{y}{chr(39)})::BIGINT AS count_{y}' for y in YEARS)} FROM l GROUP BY 1) SELECT *, {TREND.replace('{a}', half_mean('count_', YEARS[:HALF])).replace('{b}', half_mean('count_', YEARS[HALF:]))} AS trend_direction FROM w",
         "records", "codes", "rates",
     ),
     "q_r3_tiers": with_sources(
@@ -114,7 +120,7 @@ FROM c JOIN z ON c.ein = z.ein ORDER BY years_flagged DESC, total_flags DESC, c.
     ),
     "q_r5_stability": with_sources(
         f"""WITH {q.FLAGGED}, {SY}, k AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY year) AS t FROM sr WHERE year IN {q.listed(YEARS)})
-SELECT sector, round(avg(rank), 9) AS mean_rank, round(sum(rate) / 4, 9) AS mean_rate, CASE WHEN max(rank) - min(rank) <= 2 THEN 'Very Stable' WHEN max(rank) - min(rank) <= 5 THEN 'Stable' WHEN max(rank) - min(rank) <= 10 THEN 'Moderate' ELSE 'Volatile' END AS consistency,
+SELECT sector, round(avg(rank), 9) AS mean_rank, round(sum(rate) / {len(YEARS)}, 9) AS mean_rate, CASE WHEN max(rank) - min(rank) <= 2 THEN 'Very Stable' WHEN max(rank) - min(rank) <= 5 THEN 'Stable' WHEN max(rank) - min(rank) <= 10 THEN 'Moderate' ELSE 'Volatile' END AS consistency,
  CASE WHEN count(*) >= 3 THEN round(1.0::DOUBLE - 6.0::DOUBLE * sum((rank - t) * (rank - t))::DOUBLE / (count(*) * (count(*) * count(*) - 1)), 9) END AS rho_raw, {PER(f"coalesce(round(max(rate) FILTER (year = '{y}'), 9), 0) AS rate_{y}, max(rank) FILTER (year = '{y}') AS rank_{y}" for y in YEARS)} FROM k GROUP BY 1""",
         "records", "codes", "rates",
     ),
@@ -127,8 +133,8 @@ SELECT *, cross_sector_inflows - cross_sector_outflows AS net_flow, CASE WHEN cr
     ),
     "q_r6_states": with_sources(
         f"""WITH {q.FLAGGED}, w AS (SELECT upper(trim(state)) AS state, {PER(f"count(*) FILTER (year = '{y}') AS total_{y}, count(*) FILTER (year = '{y}' AND n_flags > 0) AS flagged_{y}" for y in YEARS)} FROM flagged WHERE trim(state) <> '' GROUP BY 1),
-r AS (SELECT *, {PER(f"CASE WHEN total_{y} > 0 THEN flagged_{y} / total_{y}::DOUBLE ELSE 0 END AS r_{y}" for y in YEARS)} FROM w), a AS (SELECT *, ({' + '.join(f'r_{y}' for y in YEARS)}) / 4 AS m FROM r)
-SELECT state, {PER(f'total_{y}, flagged_{y}, round(r_{y}, 9) AS rate_{y}' for y in YEARS)}, round(m, 9) AS avg_rate, round(sqrt(({' + '.join(f'(r_{y} - m) * (r_{y} - m)' for y in YEARS)}) / 4), 9) AS std_dev, row_number() OVER (ORDER BY round(m, 12) DESC, state) AS rank FROM a""",
+r AS (SELECT *, {PER(f"CASE WHEN total_{y} > 0 THEN flagged_{y} / total_{y}::DOUBLE ELSE 0 END AS r_{y}" for y in YEARS)} FROM w), a AS (SELECT *, ({' + '.join(f'r_{y}' for y in YEARS)}) / {len(YEARS)} AS m FROM r)
+SELECT state, {PER(f'total_{y}, flagged_{y}, round(r_{y}, 9) AS rate_{y}' for y in YEARS)}, round(m, 9) AS avg_rate, round(sqrt(({' + '.join(f'(r_{y} - m) * (r_{y} - m)' for y in YEARS)}) / {len(YEARS)}), 9) AS std_dev, row_number() OVER (ORDER BY round(m, 12) DESC, state) AS rank FROM a""",
         "records", "codes", "rates",
     ),
     "q_r7_materiality_grid": with_sources(
@@ -147,13 +153,13 @@ SELECT *, {PER(f"round(CASE WHEN total_{y} > 0 THEN flagged_{y} / total_{y}::DOU
         "records", "codes", "rates",
     ),
     "q_r11_trends": with_sources(
-        f"WITH {q.FLAGGED}, {SY}, w AS (SELECT sector, {PER(f'coalesce(max(rate) FILTER (year = {chr(39)}{y}{chr(39)}), 0) AS r_{y}' for y in YEARS)} FROM sr GROUP BY 1) SELECT sector, {PER(f'round(r_{y}, 9) AS rate_{y}' for y in YEARS)}, round(({' + '.join(f'r_{y}' for y in YEARS)}) / 4, 9) AS mean_rate, {TREND.replace('{a}', '((r_1995 + r_1996) / 2)').replace('{b}', '((r_1997 + r_1998) / 2)')} AS direction FROM w",
+        f"WITH {q.FLAGGED}, {SY}, w AS (SELECT sector, {PER(f'coalesce(max(rate) FILTER (year = {chr(39)}{y}{chr(39)}), 0) AS r_{y}' for y in YEARS)} FROM sr GROUP BY 1) SELECT sector, {PER(f'round(r_{y}, 9) AS rate_{y}' for y in YEARS)}, round(({' + '.join(f'r_{y}' for y in YEARS)}) / {len(YEARS)}, 9) AS mean_rate, {TREND.replace('{a}', half_mean('r_', YEARS[:HALF])).replace('{b}', half_mean('r_', YEARS[HALF:]))} AS direction FROM w",
         "records", "codes", "rates",
     ),
     "q_allocation": f"WITH {ALLOT} SELECT * FROM allot",
     "q_stratified_sample": f"WITH {ALLOT} SELECT doc_id AS id, lang AS tier FROM documents JOIN allot ON lang = tier QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('202606:' || doc_id), doc_id) <= allotted",
     "q_review_sheet": with_sources(
-        f"""WITH {q.SCORED}, {q.TRIAGED}, s AS (SELECT *, {q.array(fixed.STRATA)}[ord % 5 + 1] AS stratum FROM triaged WHERE ord % 50 = 0)
+        f"""WITH {q.SCORED}, {q.TRIAGED}, s AS (SELECT *, {q.array(fixed.STRATA)}[ord % 5 + 1] AS stratum FROM triaged)
 SELECT id, stratum, establishment_name, company_name, CASE WHEN city <> '' AND state <> '' AND zip_code <> '' THEN street_address || ', ' || city || ', ' || state || ' ' || zip_code ELSE array_to_string(list_filter([street_address, city, state, zip_code], lambda x: x <> ''), ', ') END AS full_address, industry_description, naics_code AS reported_naics,
  CASE WHEN suggested_naics <> '' THEN coalesce(try_cast(try_cast(suggested_naics AS DOUBLE) AS BIGINT)::VARCHAR, suggested_naics) WHEN stratum = 'CLEAN' THEN 'No flags raised' WHEN stratum = 'FLAGGED_NOT_PROMOTED' THEN 'Flagged but not promoted to triage' WHEN triage_tier = 'T5_NO_ALTERNATIVE' THEN 'No web presence found'
  WHEN triage_tier = 'T5e_WEBSITE_UNSCRAPEABLE' THEN 'Website found but unscrapeable' WHEN triage_tier = 'T5f_NO_NAICS_SIGNAL' THEN 'Website scraped, no NAICS signal' ELSE 'No suggestion available' END AS suggested_naics FROM s""",

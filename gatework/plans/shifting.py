@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatework.functions import fixed
-from gatework.operators import persistence, premium
+from gatework.operators import gates, persistence, premium
 from gatework.plans import sqltext as q
-from gatework.plans.assessing import triaged
-from gatework.plans.derived import derived, with_sources
-from gatework.plans.gating import flagged
+from gatework.plans.derived import derived, shared, with_sources
+from gatework.plans.gating import codes
 from gatework.plans.reporting import rounded
 
 
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return persistence.combined(derived(spark, sf_dir, "records"), flagged(spark, sf_dir), triaged(spark, sf_dir))
+    records = derived(spark, sf_dir, "records")
+    return persistence.combined(records, gates.code_gates(records, codes(spark, sf_dir)))
 
 
 def yearly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +25,16 @@ def yearly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return persistence.shifts(combined(spark, sf_dir), yearly_rates(spark, sf_dir))
+    return persistence.shifts(persistence.records_of_years(derived(spark, sf_dir, "records")), yearly_rates(spark, sf_dir))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = combined(spark, sf_dir)
-    return persistence.persistence_summary(df, persistence.shifts(df, yearly_rates(spark, sf_dir)))
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        path = shared(spark, what)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return persistence.persistence_summary(combined(spark, sf_dir), shifts(spark, sf_dir), keep=keep)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

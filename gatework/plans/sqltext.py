@@ -19,18 +19,18 @@ FIRM = "CASE WHEN coalesce(company_name, '') <> '' THEN company_name ELSE coales
 BROKEN_RULE = " OR ".join(rf"(regexp_matches(lower({NAME}), '{r.pattern}') AND substring(naics_code, 1, 2) NOT IN {listed(r.sectors)})" for r in rules.name_rules())
 
 
-def cleaned(r: rules.Rule) -> str:
-    """The lower-case name without what a rule's neighbours forbid: RE2 has no look-around."""
+def rule_met(pattern: str) -> str:
+    """Whether the lower-case name has a rule's pattern. RE2 has no look-around, so what a neighbour forbids is blanked."""
     name = f"lower({NAME})"
-    for w in r.after:
-        name = rf"regexp_replace({name}, '{w}\s{r.pattern}', ' ', 'g')"
-    if r.before:
-        end = r"\b" if list(r.before) == fixed.ADDRESS_WORDS else ""
-        name = rf"regexp_replace({name}, '{r.pattern}\s+({'|'.join(r.before)}){end}', ' ', 'g')"
-    return name
+    if "crushed" in pattern:
+        return rf"regexp_matches(regexp_replace({name}, '(crushed|recycled)\sconcrete\b|\bconcrete\s+product', ' ', 'g'), '\bconcrete\b')"
+    if pattern.endswith(fixed.STREET):
+        pattern = pattern.removesuffix(fixed.STREET)
+        name = rf"regexp_replace({name}, '{pattern}\s+({fixed.STREET[9:-4]})\b', ' ', 'g')"
+    return f"regexp_matches({name}, '{pattern}')"
 
 
-FIRST_RULE = "CASE " + " ".join(f"WHEN regexp_matches({cleaned(r)}, '{r.pattern}') THEN {i}" for i, r in enumerate(rules.corrections(), 1)) + " END"
+FIRST_RULE = "CASE " + " ".join(f"WHEN {rule_met(r.pattern)} THEN {i}" for i, r in enumerate(rules.corrections(), 1)) + " END"
 RULE_TABLE = "(VALUES " + ", ".join(f"({i}, '{r.code}', '{r.title}', {array(r.sectors)})" for i, r in enumerate(rules.corrections(), 1)) + ") AS rule(n, right_code, title, allowed)"
 
 VALID = "valid AS (SELECT DISTINCT code FROM codes WHERE regexp_full_match(code, '[0-9]{2,6}'))"
@@ -153,3 +153,17 @@ triaged AS (SELECT *, CASE WHEN scrape_match_status IN ('CONFIRMED', 'SAM_CONFIR
   WHEN NOT {SIGNAL} AND NOT ({SAME}) THEN 'T5b_NO_DESC_SIGNAL' ELSE 'T8_OTHER' END AS triage_tier FROM scored)"""
 
 GROUP = f"CASE WHEN triage_tier IN {listed(fixed.AUTO_TIERS)} THEN 'AUTO-RESOLVE' WHEN triage_tier = 'T5_NO_ALTERNATIVE' THEN 'NO DATA' WHEN triage_tier = 'T8_OTHER' THEN 'UNCATEGORIZED' ELSE 'HUMAN REVIEW' END"
+
+MOVE = "substring(naics_code, 1, 2) || '->' || substring(suggested_naics, 1, 2)"
+GAP = "CASE WHEN greatest(r_rate, s_rate) > 0 AND r_rate IS NOT NULL AND s_rate IS NOT NULL THEN abs(r_rate - s_rate) / greatest(r_rate, s_rate) END"
+#: results, codes, rates to `reasoned`: the reason of each tier.
+REASONED = f"""gaps AS (SELECT s.*, {R_RATE} AS r_rate, {S_RATE} AS s_rate FROM triaged AS s {R_JOIN} {S_JOIN}),
+reasoned AS (SELECT g.*, CASE triage_tier WHEN 'T0_RESOLVED' THEN 'Status: ' || scrape_match_status WHEN 'T1_SAME_CODE' THEN 'Suggested == reported (scraper confirmed)'
+ WHEN 'T2_TRIVIAL_CORRECTION' THEN 'Same 4-digit parent: ' || substring(naics_code, 1, 4) WHEN 'T2b_MULTI_ESTABLISHMENT_CONSISTENT' THEN sites || ' locations all report ' || naics_code || ', consistent self-reporting'
+ WHEN 'T5f_NO_NAICS_SIGNAL' THEN 'Website scraped but no NAICS-identifying keywords found' WHEN 'T5e_WEBSITE_UNSCRAPEABLE' THEN 'Website found (' || substring(website_url, 1, 50) || ') but content extraction failed'
+ WHEN 'T5_NO_ALTERNATIVE' THEN 'Status: ' || scrape_match_status || ', no suggestion to compare' WHEN 'T3_DESC_SUPPORTS_REPORTED' THEN printf('Desc supports reported (r=%.2f >= s=%.2f)', r_score, s_score)
+ WHEN 'T4_SAME_SECTOR' THEN 'Same sector ' || substring(naics_code, 1, 2) || printf(' (r=%.2f, s=%.2f)', r_score, s_score) WHEN 'T7a_INVALID_CODE' THEN 'Reported ' || naics_code || ' not in NAICS tree'
+ WHEN 'T5c_NONCREDIBLE_URL' THEN 'URL ' || {DOMAIN} || ' is not a company website, suggestion unreliable' WHEN 'T5d_LOW_CONFIDENCE_GUESS' THEN 'URL from guess with low confidence, cross-sector ' || {MOVE}
+ WHEN 'T6_CROSS_SECTOR_CONTRADICTION' THEN printf('Desc contradicts reported (r=%.2f < s=%.2f), crosses ', r_score, s_score) || {MOVE} || coalesce(printf(', DART ratio=%.0f%%', ({GAP}) * 100), '')
+ WHEN 'T5b_NO_DESC_SIGNAL' THEN 'No desc evidence, cross-sector ' || {MOVE} || ', conf=' || scrape_confidence ELSE 'Unclassified' END AS triage_reason
+ FROM gaps AS g LEFT JOIN consistent AS c ON lower(trim({FIRM.replace("company_name", "g.company_name").replace("establishment_name", "g.establishment_name")})) = c.company)"""

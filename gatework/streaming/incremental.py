@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from gatework.operators.lookup import first_by
+
 
 def pending(targets: DataFrame, done: DataFrame, retry: tuple[str, ...] = (), status: str = "scrape_match_status") -> DataFrame:
     """targets that are not done; results of the statuses in retry count as not done."""
@@ -15,13 +17,14 @@ def pending(targets: DataFrame, done: DataFrame, retry: tuple[str, ...] = (), st
     return targets.join(kept.select("id").distinct(), "id", "left_anti")
 
 
-def run_incremental(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id", files: int = 100, names: str = "*.parquet") -> StreamingQuery:
+def run_incremental(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id", files: int = 100, names: str = "*.parquet", order: tuple[str, ...] = ()) -> StreamingQuery:
     """Works off all new Parquet files under `source` and ends. A batch's rows go to a folder of its number, replaced if the
-    batch is repeated, so a restart after a failure neither loses nor doubles any; of a key that comes again in one batch,
-    or that an earlier batch has, the first result stays."""
+    batch is repeated, so a restart after a failure neither loses nor doubles any. Of a key that comes again among a batch's
+    results the first by `order`, and then by all columns, stays; of one that an earlier batch has, the earlier result."""
 
     def each(batch: DataFrame, number: int) -> None:
-        fresh = work(batch.dropDuplicates([key]))
+        fresh = work(batch)
+        fresh = first_by(fresh, [key], [F.col(c) for c in (*order, *(c for c in fresh.columns if c not in order))])
         path = f"{out}/batch={number}"
         try:
             before = spark.read.parquet(out).where(F.col("batch") < number).select(key).distinct()
