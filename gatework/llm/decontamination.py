@@ -217,7 +217,11 @@ def clean_batches(batches, index: Index):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the contaminated rows: one pass for each block of the benchmark, and no shuffle."""
+    """docs without the contaminated rows: one pass for each block of the benchmark, and no shuffle.
+
+    Null and empty texts have no words and stay; very long texts are read whole; repeated rows each stay or go. An empty
+    benchmark lets all stay, an empty table gives an empty one, and the columns stay those of docs, whatever their names.
+    """
     out = docs
     for sent in indexes(docs, benchmark, window, block_bytes):
         out = over_texts(out, lambda it, s=sent: clean_batches(it, s.value), docs.schema)

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from gatework.llm.common import ascii_lower, written
 
-#: Counters of the summary: with n rows, every digest with more than n / 750 rows is certain to be named.
+#: Counters of the summary, and twice the digests that it names. One that it leaves out, though frequent, is shuffled with
+#: the rest: the summary changes the speed only.
 COUNTERS = 1024
 
 

@@ -228,7 +228,12 @@ def identify(docs: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",),
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; learned from rows whose crc32 remainder by 4 is not 2."""
+    """doc_id, held_out, lang_pred, score of every row; learned from rows whose crc32 remainder by 4 is not 2.
+
+    Null texts and texts without a letter are `und`; rows of null lang are labelled, not learned from, and so are rows
+    without an id. Very long texts are read whole. Repeated rows each appear, an empty table gives an empty result, and
+    extra columns are ignored.
+    """
     out = held_out(F.col("doc_id"), 4, 2)
     model = trained(docs, ~out)
     return identify(docs.select("doc_id", "text"), model, with_spans=False).select("doc_id", out.alias("held_out"), "lang_pred", "score")
@@ -241,7 +246,11 @@ def keep_batches(batches, model: Model):
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows that have no language (`und`): null texts and texts without letters."""
+    """docs without the rows that have no language (`und`): null texts and texts without letters.
+
+    The columns stay those of docs, whatever their names; repeated rows each stay, an empty table gives an empty one. If no
+    row has a label to learn from, every row is `und` and goes.
+    """
     model = trained(docs, ~held_out(F.col("doc_id"), 4, 2))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return over_texts(docs, lambda it: keep_batches(it, sent.value), docs.schema)

@@ -286,5 +286,5 @@ def score_texts(docs: DataFrame, held: Column, mu: float = MU, blocks: int | Non
 
 
 def score_report(docs: DataFrame) -> DataFrame:
-    """score_texts with the rows held out whose crc32 remainder by 5 is 1."""
+    """score_texts, with its rules, and the rows held out whose crc32 remainder by 5 is 1; a null id is not held out."""
     return score_texts(docs, held_out(F.col("doc_id"), 5, 1))

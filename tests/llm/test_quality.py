@@ -1,6 +1,9 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 
-from gatework.llm.quality import features, quality_report
+from gatework.llm.quality import BETA, BUCKETS, L1, L2, PASSES, RATE, features, learn_batches, quality_report
 from tests.llm.helpers import ODD, frame, remainder
 
 
@@ -22,8 +25,43 @@ def test_odd_rows_and_no_labels(spark):
     assert quality_report(frame(spark, []), none).count() == 0
 
 
-def test_features_have_unit_length():
-    import pyarrow as pa
+def plain_ftrl(rows):
+    """FTRL-proximal a coordinate at a time, as published."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= L1:
+            return 0.0
+        return (math.copysign(L1, z[i]) - z[i]) / ((BETA + math.sqrt(n[i])) / RATE + L2)
+
+    for _ in range(PASSES):
+        for label, x in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / RATE
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
 
+
+def test_updates_against_plain_ftrl():
+    r = np.random.default_rng(6)
+    rows = []
+    for _ in range(120):
+        buckets = np.sort(r.choice(40, r.integers(1, 9), replace=False))
+        values = r.random(len(buckets)).astype(np.float32)
+        rows.append((float(buckets.sum() % 3 == 0), dict(zip(buckets.tolist(), values.tolist(), strict=True))))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([y for y, _ in rows]), pa.array([list(x) for _, x in rows], pa.list_(pa.int32())), pa.array([list(x.values()) for _, x in rows], pa.list_(pa.float32()))], ["label", "bucket", "value"]
+    )
+    got = next(learn_batches(iter([batch])))
+    found = dict(zip(got.column("bucket").to_pylist(), got.column("weight").to_pylist(), strict=True))
+    want = plain_ftrl([(y, x | {BUCKETS: 1.0}) for y, x in rows])
+    assert want and set(found) == set(want) and all(abs(found[i] - want[i]) < 1e-5 for i in want)
+
+
+def test_features_have_unit_length():
     text, _, value = features(pa.array(["A small TEXT, a small text.", None, "", "x"]))
     assert np.allclose(np.bincount(text, value * value, 4), [1, 0, 0, 1])
