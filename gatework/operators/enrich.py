@@ -9,7 +9,7 @@ from gatework.config import DEFAULT, Config
 from gatework.functions import fixed, rules
 from gatework.functions.codes import keyword_score, prefix
 from gatework.functions.text import blank, company_key, filled, first_filled, listed_codes, page_tokens, plain_key
-from gatework.operators.lookup import by_values, code_status, first_by, keyword_index, last_titles
+from gatework.operators.lookup import by_values, code_status, first_by, joined_filled, keyword_index, last_titles
 
 HARD_FLAGS = ("flag_invalid_naics_code", "flag_name_naics_mismatch", "flag_naics_count_anomaly")
 NOT_USEFUL = ("SCRAPE_FAILED", "NO_WEBSITE", "")
@@ -172,6 +172,48 @@ def decide(pages: DataFrame, lists: DataFrame, cfg: Config = DEFAULT) -> DataFra
     return df.withColumn("d_", d).select(*df.columns, "d_.scrape_match_status", "d_.suggested_naics", "d_.scrape_confidence")
 
 
+def unresolved(results: DataFrame) -> DataFrame:
+    """Results that later evidence may still settle: the targets of the registrant and contractor matches."""
+    return results.where(F.col("scrape_match_status").isin("UNCERTAIN", "SCRAPE_FAILED"))
+
+
+def pilot(df: DataFrame, most: int, order: str = "ord") -> DataFrame:
+    """The first rows by an order, for a trial run."""
+    return df.orderBy(order, "id").limit(most)
+
+
+def of_registrants(results: DataFrame, registrants: DataFrame, table: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """Verdicts on the unresolved results by registrants (name, sic) of nearly the same name, anywhere: the best ratio of
+    matching names, the first name among equals. table: sic, mapped_code, mapped_title, ord."""
+    from gatework.functions.text import registrant_name
+    from gatework.operators.fuzzy import best_matches
+
+    df = unresolved(results).withColumn("name_", filled(registrant_name(first_filled(F.col("company_name"), F.col("establishment_name")))))
+    names = df.where("name_ is not null").select(F.col("name_").alias("key"), F.col("name_").alias("name")).distinct()
+    pool = registrants.select(registrant_name(F.col("name")).alias("name"), F.struct("name", "sic").alias("match"))
+    found = best_matches(names, pool, None, threshold, 1).select(F.col("key").alias("name_"), "match.sic", F.col("score").alias("match_score"))
+    return registrant_verdict(joined_filled(df.drop("sic"), found, ["name_"]).drop("name_"), table, "sic")
+
+
+def of_contractors(results: DataFrame, contractors: DataFrame, threshold: float = 85.0) -> DataFrame:
+    """Verdicts on the unresolved results by contractors (name, name_norm, state, primary_code, listed_codes) of nearly the
+    same name in the same state."""
+    from gatework.functions.text import contractor_name
+    from gatework.operators.fuzzy import best_matches
+
+    name = contractor_name(first_filled(F.col("establishment_name"), F.col("company_name")))
+    df = unresolved(results).withColumns({"name_": filled(name), "state_": filled(F.upper(F.trim("state")))})
+    names = df.where("name_ is not null and state_ is not null").select(F.struct("state_", "name_").alias("key"), F.col("state_").alias("state"), F.col("name_").alias("name")).distinct()
+    pool = contractors.select(F.col("state"), F.col("name_norm").alias("name"), F.struct("name", "primary_code", "listed_codes").alias("match"))
+    found = best_matches(names, pool, "state", threshold).select("key.state_", "key.name_", "match.primary_code", "match.listed_codes", F.col("score").alias("match_score"))
+    df = joined_filled(df, found, ["state_", "name_"]).drop("state_", "name_")
+    v = contractor_verdict(F.col("primary_code"), F.col("listed_codes"), F.col("naics_code"))
+    none = F.col("match_score").isNull()
+    df = df.withColumn("v_", v)
+    new = {"scrape_match_status": F.when(none, "SAM_NOT_FOUND").otherwise(F.col("v_.match_status")), "suggested_naics": F.when(none, "").otherwise(F.col("v_.suggested_naics")), "scrape_confidence": F.when(none, "low").otherwise(F.col("v_.confidence"))}
+    return df.withColumns(new).drop("v_")
+
+
 def registrant_verdict(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Registrants' own industry mapped to codes (table: key, mapped_code, mapped_title, ord): edgar status and suggestion."""
     from gatework.operators.lookup import crosswalk

@@ -79,11 +79,12 @@ def sector_stability(flagged: DataFrame, years: list[str]) -> DataFrame:
     s = s.withColumn("t", time).withColumn("own", F.rank().over(Window.partitionBy("sector").orderBy("rank")).cast("double"))
     n, d2 = F.count("*"), F.sum((F.col("rank") - F.col("t")) * (F.col("rank") - F.col("t")))
     at = lambda c, y: F.max(F.when(F.col("year") == y, F.col(c)))
-    return s.groupBy("sector").agg(
+    out = s.groupBy("sector").agg(
         F.avg("rank").alias("mean_rank"), (F.sum("rate") / len(years)).alias("mean_rate"), rank_consistency(F.max("rank") - F.min("rank")).alias("consistency"),
         F.when(n >= 3, 1.0 - 6.0 * d2 / (n * (n * n - 1))).alias("rho_raw"), F.when(n >= 3, F.corr("own", "t")).alias("rho"),
         *[F.coalesce(at("rate", y), F.lit(0.0)).alias(f"rate_{y}") for y in years], *[at("rank", y).alias(f"rank_{y}") for y in years],
     )
+    return out.orderBy("mean_rank", "sector")
 
 
 def sector_flows(contradicted: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -168,6 +169,26 @@ def top_changes(classified: DataFrame, most: int = 20) -> DataFrame:
     return n.orderBy(F.col("n").desc(), "naics_code", "naics_verified").limit(most)
 
 
+def report(flagged: DataFrame, triaged: DataFrame, material: DataFrame, contradicted: DataFrame, years: list[str]) -> str:
+    """The multi-year findings as text, a section a report. Each table has a row a year, flag, tier, sector, state or less."""
+    real = contradicted.where("outcome = 'contradiction'")
+    sections = {
+        "Pipeline overview": overview(flagged, triaged, material).orderBy("year"),
+        "Flag prevalence": flag_prevalence(flagged, years),
+        "Triage tiers": tier_distribution(triaged, years).orderBy("tier"),
+        "Entities flagged most persistently": persistent_entities(flagged),
+        "Sectors by stability": sector_stability(flagged, years),
+        "Flows between sectors": sector_flows(real, flagged).orderBy("sector"),
+        "States": state_patterns(flagged, years).orderBy("rank"),
+        "Materiality": materiality_grid(material, years).orderBy("year", "materiality_class"),
+        "Most frequent sector pairs": sector_pairs(real).limit(20),
+        "Flags over years": flag_trend(flagged, triaged, material, real).orderBy("year"),
+        "Sizes": size_patterns(flagged, years).drop("place"),
+        "Sector trends": sector_trends(flagged, years).orderBy("sector"),
+    }
+    return "\n\n".join(narrative(table, title) for title, table in sections.items())
+
+
 def narrative(table: DataFrame, title: str) -> str:
     """A small table as lines of text."""
     rows = table.collect()

@@ -11,6 +11,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gatework.operators import assess, enrich, gates, lookup, persistence, premium, reports, validation
 from gatework.sources import io
@@ -29,6 +30,9 @@ STAGES: dict[str, tuple[tuple[str, ...], Callable[[Tables], DataFrame], str | No
     "retry-failed": (("records", "results"), lambda t: pending(t["records"], t["results"], ("SCRAPE_FAILED",)), None),
     "retry-no-website": (("records", "results"), lambda t: pending(t["records"], t["results"], ("NO_WEBSITE",)), None),
     "decide": (("pages", "codes"), lambda t: enrich.decide(t["pages"], t["codes"]), "scrape_match_status"),
+    "targets": (("results",), lambda t: enrich.unresolved(t["results"]), "scrape_match_status"),
+    "registrants": (("results", "registrants", "crosswalk"), lambda t: enrich.of_registrants(t["results"], t["registrants"], t["crosswalk"]), "scrape_match_status"),
+    "contractors": (("results", "contractors"), lambda t: enrich.of_contractors(t["results"], io.contractors(t["contractors"])), "scrape_match_status"),
     "merge": (("results", "found"), lambda t: enrich.merged(t["results"], t["found"]), "scrape_match_status"),
     "known": (("results", "companies"), lambda t: enrich.known_companies(t["results"], t["companies"]), "scrape_match_status"),
     "fan-out": (("results", "records", "codes"), lambda t: enrich.fanned_out(t["results"], t["records"], lookup.last_titles(t["codes"])), "scrape_match_status"),
@@ -39,28 +43,48 @@ STAGES: dict[str, tuple[tuple[str, ...], Callable[[Tables], DataFrame], str | No
     "quality": (("results", "codes"), lambda t: assess.batch_quality(t["results"], lookup.valid_codes(t["codes"])), None),
     "shifts": (("combined", "rates"), lambda t: persistence.shifts(t["combined"], t["rates"]), "shift_type"),
     "premiums": (("records", "results"), lambda t: premium.deltas(premium.scored(t["records"], t["results"], premium.rate_table(t["records"].sparkSession))), "direction"),
+    "error-types": (("records", "flagged"), lambda t: persistence.combined(t["records"], t["flagged"]), "error_type"),
+    "persistence": (("combined", "shifts"), lambda t: persistence.persistence_summary(t["combined"], t["shifts"]), None),
+    "premium-summary": (("records", "results"), lambda t: premium.premium_summary(premium.scored(t["records"], t["results"], premium.rate_table(t["records"].sparkSession)), t["records"].count()), None),
+    "review-sample": (("triaged", "allotted"), lambda t: validation.stratified(t["triaged"].withColumn("tier", F.col("triage_tier")), t["allotted"], "tier", 202606), "tier"),
     "metrics": (("reviewed",), lambda t: validation.stratum_metrics(t["reviewed"]), None),
 }
 
 
+#: Stages that print what they find and write nothing.
+REPORTS = {"report": ("flagged", "triaged", "material", "contradicted")}
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return io.read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="gatework.run", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("stage", choices=STAGES)
+    p.add_argument("stage", choices=[*STAGES, *REPORTS])
     p.add_argument("--in", dest="inputs", action="append", default=[], metavar="name=path")
     p.add_argument("--out")
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--last", type=int, help="only the last N results (stage quality)")
+    p.add_argument("--limit", type=int, help="a pilot: only the first N rows of the stage's first input")
+    p.add_argument("--year", action="append", help="only these years of the inputs that have one")
+    p.add_argument("--url-source", choices=("guess", "search"), help="only results whose site was found so")
     a = p.parse_args(args)
-    names, work, column = STAGES[a.stage]
+    names, work, column = STAGES.get(a.stage) or (REPORTS[a.stage], None, None)
     paths = dict(x.split("=", 1) for x in a.inputs)
     if missing := [n for n in names if n not in paths]:
         p.error(f"{a.stage} needs --in {' '.join(f'{n}=path' for n in missing)}")
     spark = spark or SparkSession.builder.appName("gatework").getOrCreate()
     tables = {n: read(spark, paths[n]) for n in names}
+    for n, t in tables.items():
+        if a.year and "year" in t.columns:
+            t = t.where(F.col("year").isin(*a.year))
+        if a.url_source and "url_source" in t.columns:
+            t = t.where(F.col("url_source") == a.url_source)
+        tables[n] = enrich.pilot(t, a.limit) if a.limit and n == names[0] and {"ord", "id"} <= set(t.columns) else t
+    if a.stage == "report":
+        print(reports.report(*(tables[n] for n in names), sorted(r.year for r in tables["flagged"].select("year").distinct().collect())))
+        return 0
     if a.last and "results" in tables:
         tables["results"] = assess.latest(tables["results"], a.last)
     out = work(tables)

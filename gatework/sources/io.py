@@ -70,6 +70,14 @@ def contractors(extract: DataFrame) -> DataFrame:
     return df.where("coalesce(name, '') <> '' and name_norm <> ''")
 
 
+def workbook_rows(df: DataFrame, skip: int, names: dict[str, str], needed: list[str], order: str) -> DataFrame:
+    """An exported sheet's rows behind the first `skip` by an order, with columns renamed and the others left out, without
+    rows that lack one of the needed."""
+    first = df.select(order).orderBy(order).limit(skip)  # as many rows as the sheet has headings
+    rows = df.join(F.broadcast(first), order, "left_anti") if skip else df
+    return rows.select(*[F.col(old).alias(new) for old, new in names.items()]).dropna(subset=needed)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Overwrites with the columns in that order; others are left out, missing ones are empty."""
     df.select(*[F.col(c) if c in df.columns else F.lit("").alias(c) for c in columns]).write.mode("overwrite").options(header=True, escape='"').csv(path)

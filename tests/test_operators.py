@@ -173,6 +173,54 @@ def test_fuzzy_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_global_fuzzy_join_loses_no_pair(spark):
+    """Typos in every word, very short names, and names of one letter: pairs that share no whole word."""
+    import random
+
+    r = random.Random(8)
+    letters = "abcdefgh"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(1, 7)))
+    right = [(i, " ".join(word() for _ in range(r.randrange(1, 4)))) for i in range(80)]
+    left = []
+    for i in range(80):
+        s = list(right[i][1])
+        for _ in range(r.randrange(4)):
+            k = r.randrange(len(s) + 1)
+            s[k : k + r.randrange(2)] = r.choice(["", r.choice(letters)])
+        left.append((i, "".join(s)))
+    key = lambda s: " ".join(sorted(s.lower().split()))
+    for threshold in (70.0, 80.0):
+        got = fuzzy.best_matches(spark.createDataFrame(left, "key int, name string"), spark.createDataFrame(right, "match int, name string"), None, threshold, 1).collect()
+        want = {}
+        for i, a in left:
+            found = [(-200 * fuzzy.common_length(key(a), key(b)) / (len(key(a)) + len(key(b))), m) for m, b in right if key(a)]
+            if found and -min(found)[0] >= threshold:
+                want[i] = (min(found)[1], round(-min(found)[0], 6))
+        assert {x.key: (x.match, round(x.score, 6)) for x in got} == want and len(want) > 50
+
+
+def test_registrants_and_contractors_settle_what_is_open(spark):
+    columns = "id string, ord int, company_name string, establishment_name string, state string, naics_code string, scrape_match_status string, suggested_naics string, suggested_description string, scrape_confidence string"
+    rows = [("1", 1, "Acme Tolls Inc.", "", "CA", "332216", "UNCERTAIN", "", "", ""), ("2", 2, "Nobody Here", "", "CA", "111111", "SCRAPE_FAILED", "", "", ""), ("3", 3, "Acme Tools", "", "CA", "332216", "CONFIRMED", "", "", ""), ("4", 4, "", None, None, "1", "UNCERTAIN", "", "", "")]
+    results = spark.createDataFrame(rows, columns)
+    registrants = spark.createDataFrame([("ACME TOOLS CORP", "3420")], "name string, sic string")
+    table = spark.createDataFrame([("3420", "332216", "Tools", 1)], "sic string, mapped_code string, mapped_title string, ord int")
+    got = {r.id: r for r in enrich.of_registrants(results, registrants, table).collect()}
+    assert {i: r.scrape_match_status for i, r in got.items()} == {"1": "EDGAR_CONFIRMED", "2": "EDGAR_NOT_FOUND", "4": "EDGAR_NOT_FOUND"}
+    contractors = spark.createDataFrame([("Acme Tools", "ACME TOOLS", "CA", "332216", "332216Y"), ("Acme Tools", "ACME TOOLS", "TX", "999999", "")], "name string, name_norm string, state string, primary_code string, listed_codes string")
+    got = {r.id: r for r in enrich.of_contractors(results.replace("Acme Tolls Inc.", "Acme Tolls"), contractors).collect()}
+    assert {i: r.scrape_match_status for i, r in got.items()} == {"1": "SAM_CONFIRMED", "2": "SAM_NOT_FOUND", "4": "SAM_NOT_FOUND"}
+    assert enrich.unresolved(results).count() == 3 and [r.id for r in enrich.pilot(results, 2).collect()] == ["1", "2"]
+
+
+def test_rows_with_null_keys_meet_nothing(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 2), ("b", 3)], "k string, v int")
+    table = spark.createDataFrame([("a", "x"), (None, "y")], "k string, w string")
+    assert sorted((r.v, r.w) for r in lookup.joined_filled(df, table, ["k"]).collect()) == [(1, "x"), (2, None), (2, None), (3, None)]
+    got = lookup.by_values(df, {"k": F.col("k")}, "u", lambda k: F.upper(k)).collect()
+    assert sorted((r.v, r.u) for r in got) == [(1, "A"), (2, None), (2, None), (3, "B")]
+
+
 def test_shifts_skip_missing_years(spark):
     rows = [("E", "2021", "238220", "1"), ("E", "2023", "722511", "2"), ("F", "2021", "238220", "1"), ("F", "2022", "236115", "x")]
     df = spark.createDataFrame([(e, y, c, n, i) for i, (e, y, c, n) in enumerate(rows)], "establishment_id string, year string, naics_code string, annual_average_employees string, ord int")

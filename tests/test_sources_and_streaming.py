@@ -52,6 +52,20 @@ def test_incremental_runs_resume_without_doubles(spark, tmp_path):
     spark.streams.removeListener(progress)
 
 
+def test_of_equal_keys_the_first_that_passes_stays(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(1, "bad", 1), (1, "good", 3), (1, "good", 2), (2, "bad", 1)], "id long, v string, ord int").coalesce(1).write.parquet(source)
+    run_incremental(spark, source, "id long, v string, ord int", lambda b: b.where("v = 'good'"), str(tmp_path / "out"), str(tmp_path / "cp"), order=("ord",)).awaitTermination()
+    got = spark.read.schema("id long, v string, ord int").parquet(f"{tmp_path}/out/batch=*").collect()
+    assert [(r.id, r.v, r.ord) for r in got] == [(1, "good", 2)]
+
+
+def test_workbook_rows(spark):
+    df = spark.createDataFrame([(1, "Title", None), (2, "Code", "Rate"), (3, "0005", "5.91"), (4, None, "1"), (5, "1124", "4.72")], "n int, a string, b string")
+    got = io.workbook_rows(df, 2, {"a": "code", "b": "rate"}, ["code"], "n")
+    assert sorted((r.code, r.rate) for r in got.collect()) == [("0005", "5.91"), ("1124", "4.72")]
+
+
 def test_pending(spark):
     targets = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
     done = spark.createDataFrame([("1", "CONFIRMED"), ("2", "SCRAPE_FAILED")], "id string, scrape_match_status string")
