@@ -45,8 +45,8 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     the number of letters outside the common subsequence."""
     la, lb = F.length(a), F.length(b)
     share = threshold / (200.0 - threshold)
-    room = F.floor((1 - threshold / 100.0) * (la + lb)).cast("int")
-    return (F.least(la, lb) >= share * F.greatest(la, lb)) & (F.levenshtein(a, b) <= room)
+    room = F.floor((1 - threshold / 100.0) * (la + lb) + 1e-9).cast("int")  # 1 - 0.8 is a little less than 0.2
+    return (F.least(la, lb) >= share * F.greatest(la, lb) - 1e-9) & (F.levenshtein(a, b) <= room)
 
 
 def least_shared(length: Column, threshold: float) -> Column:
@@ -90,7 +90,7 @@ def best_matches(left: DataFrame, right: DataFrame, block: str | None, threshold
     ta, tb = (tokens(x, rarity, threshold).select("block", "token", F.col("sorted").alias(n)) for x, n in ((a_sorted, "a"), (b, "b")))
     share = threshold / (200.0 - threshold)
     la, lb = F.length("a"), F.length("b")
-    met = ta.join(tb, ["block", "token"]).where(F.least(la, lb) >= share * F.greatest(la, lb)).select("block", "a", "b").distinct()
+    met = ta.join(tb, ["block", "token"]).where(F.least(la, lb) >= share * F.greatest(la, lb) - 1e-9).select("block", "a", "b").distinct()
     scored = met.where(may_reach(F.col("a"), F.col("b"), threshold)).withColumn("score", ratio("a", "b")).where(F.col("score") >= threshold)
     found = scored.join(b.select("block", F.col("sorted").alias("b"), "match"), ["block", "b"])
     best = first_by(found, ["block", "a"], [F.col("score").desc(), F.col("match")]).select("block", F.col("a").alias("sorted"), "match", "score")
