@@ -37,3 +37,29 @@ found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+def lloyd(k: int, rounds: int) -> str:
+    """k centroids, as many rounds, in 128-bit integers."""
+    parts = [
+        "v AS (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS v FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < {k})",
+    ]
+    for n in range(rounds + 1):
+        near = "list_sum(list_transform(list_zip(v.v, p.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        parts.append(f"a{n} AS (SELECT row, vec_id, v.v, c, {near} AS d FROM v, c{n} AS p QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)")
+        if n < rounds:
+            # // rounds towards zero, so the remainder is made positive first
+            mean = "(sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*)"
+            parts.append(f"m{n} AS (SELECT c, i, {mean} AS x FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY ALL)")
+            parts.append(f"c{n + 1} AS (SELECT p.c, coalesce(first(l.v), first(p.v)) AS v FROM c{n} AS p LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM m{n} GROUP BY c) AS l USING (c) GROUP BY p.c)")
+    last = f"c{rounds}"
+    sha = f"(SELECT c, sha256(array_to_string(v, ',')) AS sha FROM {last})"
+    return (
+        "WITH " + ",\n".join(parts) + f"\nSELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256 "
+        f"FROM a{rounds} JOIN {sha} USING (c)"
+    )
+
+
+OP13 = lloyd(16, 3)
