@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from gatework.llm import sql
 from gatework.llm.centroids import cluster
+from gatework.llm.collocations import collocations
 from gatework.llm.common import table
 from gatework.llm.decontamination import contamination
 from gatework.llm.exact_dedup import exact_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_quality": lambda spark, sf_dir: quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_token_output": lambda spark, sf_dir: token_output(table(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mix_report(table(spark, sf_dir, "documents")),
+    "op12_collocations": lambda spark, sf_dir: collocations(table(spark, sf_dir, "documents")),
     "op13_centroid_clustering": lambda spark, sf_dir: cluster(table(spark, sf_dir, "embeddings")),
     "pipeline": corpus_pipeline.run,
 }
@@ -36,5 +38,6 @@ ORACLES = {
     "op4_exact_dedup": sql.OP4,
     "op5_decontamination": sql.OP5,
     "op10_mixing": sql.OP10,
+    "op12_collocations": sql.OP12,
     "op13_centroid_clustering": sql.OP13,
 }

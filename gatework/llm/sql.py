@@ -63,3 +63,23 @@ def lloyd(k: int, rounds: int) -> str:
 
 
 OP13 = lloyd(16, 3)
+
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+i AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM i GROUP BY ALL HAVING f >= 100),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, k AS size, f AS a FROM f WHERE k > 1),
+x AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT x.*, l.f AS l, r.f AS r, n.n, (1000 * a * n.n) // (l.f * r.f) AS score FROM x JOIN n USING (lang)
+      JOIN f AS l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.k], ' ') JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_size AS (SELECT lang, w, size, a, unnest(range(2, size)) AS m FROM c WHERE size > 2),
+inner_at AS (SELECT *, unnest(range(1, size - m + 2)) AS i FROM inner_size),
+sub AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM inner_at GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN sub USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
