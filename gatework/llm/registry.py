@@ -13,6 +13,7 @@ from gatework.llm.html_text import extract
 from gatework.llm.language import language_report
 from gatework.llm.language_model import score_report
 from gatework.llm.mixing import mix_report
+from gatework.llm.nearest import nearest
 from gatework.llm.pii import pii_report
 from gatework.llm.quality import quality_report
 from gatework.llm.simhash import near_dedup
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_quality": lambda spark, sf_dir: quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_token_output": lambda spark, sf_dir: token_output(table(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mix_report(table(spark, sf_dir, "documents")),
+    "op11_nearest_neighbours": lambda spark, sf_dir: nearest(table(spark, sf_dir, "embeddings")),
     "op12_collocations": lambda spark, sf_dir: collocations(table(spark, sf_dir, "documents")),
     "op13_centroid_clustering": lambda spark, sf_dir: cluster(table(spark, sf_dir, "embeddings")),
     "pipeline": corpus_pipeline.run,
