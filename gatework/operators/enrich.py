@@ -9,6 +9,7 @@ from gatework.config import DEFAULT, Config
 from gatework.functions import fixed, rules
 from gatework.functions.codes import keyword_score, prefix
 from gatework.functions.text import blank, company_key, filled, first_filled, listed_codes, page_tokens, plain_key
+from gatework.operators.candidates import best_codes
 from gatework.operators.lookup import by_values, code_status, first_by, joined_filled, keyword_index, last_titles
 
 HARD_FLAGS = ("flag_invalid_naics_code", "flag_name_naics_mismatch", "flag_naics_count_anomaly")
@@ -107,14 +108,6 @@ def page_scores(pages: DataFrame, index: DataFrame) -> DataFrame:
     return pairs.join(sizes, "key").select("key", "code", "title", "matched", keyword_score(F.col("matched"), F.col("keywords"), F.col("hits"), F.col("tokens")).alias("score"))
 
 
-def top_candidates(scores: DataFrame, k: int = 5) -> DataFrame:
-    """The k best codes of each page, with rank; equal scores by code."""
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("score").desc(), "code"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def own_scores(pages: DataFrame, lists: DataFrame) -> DataFrame:
     """(key, own_score): the page's score for its own reported code (key, text, naics_code), by the title of the code or
     of its nearest parent."""
@@ -165,7 +158,7 @@ def page_summary_words(pages: DataFrame, most: int = 50, kept: int = 10) -> Data
 
 def decide(pages: DataFrame, lists: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """pages (key, naics_code, text) with the standing of the code, own_score, top_code, top_score and the decision."""
-    best = top_candidates(page_scores(pages, keyword_index(lists)), 1).select("key", F.col("code").alias("top_code"), F.col("score").alias("top_score"))
+    best = best_codes(pages, keyword_index(lists), 1).select("key", F.col("code").alias("top_code"), F.col("score").alias("top_score"))
     df = code_status(pages, F.col("naics_code"), last_titles(lists), "naics_code_status", "naics_code_parent", "naics_code_note")
     df = df.join(own_scores(pages, lists), "key", "left").join(best, "key", "left")
     d = decided(F.col("naics_code"), F.col("naics_code_status"), F.col("text"), F.col("own_score"), F.col("top_code"), F.col("top_score"), cfg)
