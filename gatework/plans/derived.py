@@ -6,9 +6,6 @@ placeholders, padded, short, blank and non-numeric codes, blank entities, names
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 SECTORS = "11,21,22,23,31,32,33,42,44,45,48,49,51,52,53,54,55,56,61,62,71,72,81,92"
@@ -84,14 +81,6 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SOURCES[name], **tables)
 
 
-def shared(spark: SparkSession, what: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base or tempfile.mkdtemp()}/{what}-{uuid.uuid4().hex}"
-
-
 def with_sources(sql: str, *names: str) -> str:
     """DuckDB SQL with the derived tables it names as common table expressions."""
     ctes = ", ".join(f"{n} AS ({SOURCES[n].replace('{orders}', 'orders').replace('{customer}', 'customer')})" for n in names)

@@ -13,8 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatework.config import DEFAULT
 from gatework.operators import assess, enrich, gates, lookup, persistence, premium, reports, validation
 from gatework.sources import io
+from gatework.streaming import budget
 from gatework.streaming.incremental import pending
 
 Tables = dict[str, DataFrame]
@@ -55,6 +57,12 @@ STAGES: dict[str, tuple[tuple[str, ...], Callable[[Tables], DataFrame], str | No
 REPORTS = {"report": ("flagged", "triaged", "material", "contradicted")}
 
 
+def next_run(tables: Tables, calls: int, carried: int) -> DataFrame:
+    """The pending records that the next run may search for, a search and its pages each."""
+    each = budget.search_calls(F.lit(""), F.lit(""), DEFAULT.pages_per_site)
+    return budget.next_run(tables["records"], tables["results"], each, ["priority_tier", "ord"] if "priority_tier" in tables["records"].columns else ["ord"], calls, carried)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return io.read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
 
@@ -67,6 +75,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--last", type=int, help="only the last N results (stage quality)")
     p.add_argument("--limit", type=int, help="a pilot: only the first N rows of the stage's first input")
+    p.add_argument("--budget", type=int, help="stage pending: only what a run of so many calls can serve, in order of priority")
+    p.add_argument("--carried", type=int, default=0, help="calls that the run before left")
     p.add_argument("--year", action="append", help="only these years of the inputs that have one")
     p.add_argument("--url-source", choices=("guess", "search"), help="only results whose site was found so")
     a = p.parse_args(args)
@@ -87,7 +97,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     if a.last and "results" in tables:
         tables["results"] = assess.latest(tables["results"], a.last)
-    out = work(tables)
+    out = next_run(tables, a.budget, a.carried) if a.budget and a.stage == "pending" else work(tables)
     if a.out and not a.dry_run:
         out.write.mode("errorifexists").parquet(a.out)
         out = spark.read.parquet(a.out)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,3 +111,24 @@ def write_tabs(df: DataFrame, path: str, column: str = "stratum") -> None:
 def formatted(df: DataFrame, decimals: int = 2) -> DataFrame:
     """Doubles as text for people."""
     return df.select(*[F.format_string(f"%.{decimals}f", c).alias(c) if isinstance(df.schema[c].dataType, T.DoubleType) else F.col(c) for c in df.columns])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def shared(spark: SparkSession, what: str) -> str:
+    """A fresh folder under spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp()}/{what}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, what: str) -> DataFrame:
+    """df, computed once into a table in the shared folder, where its lineage ends."""
+    path = shared(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
