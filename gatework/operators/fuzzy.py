@@ -5,11 +5,12 @@ their lengths. No pair that reaches the threshold is lost, and not all pairs are
 names of m and n keeps at least 3 s - 1 - m - n pairs of neighbouring letters, as each letter outside of it parts two of
 its neighbours at most. So names that reach the threshold share so many letter pairs, and share one of the rarest of
 each (prefix filter); names too short for that meet by single letters. Candidates meet on a block and such a token, and
-pass bounds on lengths and on the edit distance, before the ratio itself is computed on Arrow batches.
+pass bounds on lengths and on the edit distance, before the ratio itself is computed, for all pairs of an Arrow batch at once.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,26 +19,71 @@ from pyspark.sql.types import DoubleType
 from gatework.operators.lookup import first_by
 
 
+#: Pairs, less for names over 64 letters, that are compared at once.
+PAIRS_AT_ONCE = 4096
+
+
 def sorted_words(name: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != "")), " ")
 
 
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs, all pairs at once: a row of the table of a pair is bits, a word
+    of 64 columns at a time, and each step takes the next letter of all names. Pairs of like size go together."""
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b, strict=True)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b, strict=True)]
+    sizes = np.array([[len(x), len(y)] for x, y in zip(short, long, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(short), np.int64)
+    order = np.lexsort((sizes[:, 1], (sizes[:, 0] + 63) // 64))
+    order = order[np.searchsorted((sizes[order, 0] + 63) // 64, 1) :]  # an empty name has nothing in common
+    while len(order):
+        words = (sizes[order[0], 0] + 63) // 64
+        n = min(np.searchsorted((sizes[order, 0] + 63) // 64, words, "right"), max(1, PAIRS_AT_ONCE // words))
+        some, order = order[:n], order[n:]
+        out[some] = common_of([short[i] for i in some], [long[i] for i in some], sizes[some], int(words))
+    return out
+
+
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of the table at a time as bits of one integer."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        match = row & places.get(c, 0)
-        row = ((row + match) | (row - match)) & full
-    return len(a) - row.bit_count()
+    return int(common_lengths([a], [b])[0])
+
+
+def letters(names: list[str], width: int) -> np.ndarray:
+    """The names' letters as numbers, a row each, zeros after a name's end."""
+    return np.array(names, f"<U{width}").view(np.uint32).reshape(len(names), width)
+
+
+def common_of(short: list[str], long: list[str], sizes: np.ndarray, words: int) -> np.ndarray:
+    n, widths = len(short), sizes.max(0)
+    x, y = letters(short, widths[0]), letters(long, widths[1])
+    alphabet, numbers = np.unique(np.concatenate([x.ravel(), y.ravel()]), return_inverse=True)
+    x, y = numbers[: x.size].reshape(x.shape), numbers[x.size :].reshape(y.shape)
+    all_, none = np.arange(n), len(alphabet)
+    places = np.zeros((words, n, none + 1), np.uint64)  # where in the short name each letter is; the last stands for no letter
+    for i in range(widths[0]):
+        there = all_[i < sizes[:, 0]]
+        places[i // 64, there, x[there, i]] |= np.uint64(1 << (i % 64))
+    rows = [np.full(n, ~np.uint64(0)) for _ in range(words)]
+    for j in range(widths[1]):
+        at = np.where(j < sizes[:, 1], y[:, j], none)
+        carry = np.zeros(n, np.uint64)
+        for w in range(words):
+            row = rows[w]
+            match = row & places[w, all_, at]
+            total = row + match
+            over = total < row
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            rows[w] = total | (row - match)
+    # a zero is a letter in common; bits past the short name's end stay ones, for no letter is there
+    return sum(64 - np.bitwise_count(row).astype(np.int64) for row in rows)
 
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([200.0 * common_length(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+    x, y = a.tolist(), b.tolist()
+    total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.float64)
+    return pd.Series(np.where(total > 0, 200.0 * common_lengths(x, y) / np.maximum(total, 1), 100.0), dtype="float64")
 
 
 def may_reach(a: Column, b: Column, threshold: float) -> Column:
@@ -46,7 +92,8 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     la, lb = F.length(a), F.length(b)
     share = threshold / (200.0 - threshold)
     room = F.floor((1 - threshold / 100.0) * (la + lb) + 1e-9).cast("int")  # 1 - 0.8 is a little less than 0.2
-    return (F.least(la, lb) >= share * F.greatest(la, lb) - 1e-9) & (F.levenshtein(a, b) <= room)
+    # beyond `room` the distance isn't computed to its end: it is -1
+    return (F.least(la, lb) >= share * F.greatest(la, lb) - 1e-9) & (F.call_function("levenshtein", a, b, room) >= 0)
 
 
 def least_shared(length: Column, threshold: float) -> Column:

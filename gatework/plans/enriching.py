@@ -107,6 +107,21 @@ def merge_step(source: str, kind: str, k: int) -> str:
 MERGED = f"m0 AS (SELECT id, ord, scrape_match_status AS st, suggested_naics AS sug, suggested_description AS descr FROM results), m1 AS ({merge_step('m0', 'EDGAR', 3)}), m2 AS ({merge_step('m1', 'SAM', 5)})"
 USELESS = "('SCRAPE_FAILED', 'NO_WEBSITE', '')"
 
+def near_twin(block: str, threshold: int) -> str:
+    """All pairs of a block: lengths and DuckDB's own edit distance leave few, whose common subsequence is folded over the
+    letters of one name as bits of the other."""
+    words = lambda c: f"array_to_string(list_sort(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> '')), ' ')"
+    return f"""WITH l AS (SELECT p_partkey AS key, {block} AS block, {words('p_name')} AS a FROM part WHERE p_partkey % 2 = 0 AND length(p_name) >= 3),
+r AS (SELECT {block} AS block, {words("p_name || 's'")} AS b, min(p_partkey) AS match FROM part WHERE p_partkey % 2 = 1 GROUP BY 1, 2),
+n AS (SELECT DISTINCT block, a FROM l),
+p AS (SELECT block, a, b, match FROM n JOIN r USING (block) WHERE 200 * least(length(a), length(b)) >= {threshold} * (length(a) + length(b)) AND 100 * levenshtein(a, b) <= (100 - {threshold}) * (length(a) + length(b))),
+m AS (SELECT *, (1::HUGEINT << length(a)::INT) - 1 AS whole,
+ list_transform(string_split(b, ''), lambda c: coalesce(list_sum(list_transform(range(length(a)), lambda i: CASE WHEN a[i + 1] = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END)), 0)::HUGEINT) AS masks FROM p),
+s AS (SELECT *, 200.0::DOUBLE * (length(a) - bit_count(list_reduce(list_prepend(whole, masks), lambda v, x: ((v + (v & x)) | (v - (v & x))) & whole))) / (length(a) + length(b)) AS score FROM m),
+best AS (SELECT block, a, match, score FROM s WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY block, a ORDER BY score DESC, match) = 1)
+SELECT key, match, round(score, 6) AS score FROM l JOIN best USING (block, a)"""
+
+
 QUERIES = {
     "q_classify_first_match": lambda spark, sf_dir: classified(spark, sf_dir).select(*CLASSES),
     "q_top_corrections": lambda spark, sf_dir: reports.top_changes(classified(spark, sf_dir)),
@@ -176,5 +191,7 @@ t AS (SELECT *, kc IS NOT NULL AND st IN ('SCRAPE_FAILED', 'UNCERTAIN', 'NO_WEBS
 SELECT id, CASE WHEN takes AND list_contains(codes, naics_code) THEN 'KC_CONFIRMED' WHEN takes THEN 'KC_SUGGESTED' ELSE st END AS scrape_match_status, CASE WHEN takes AND list_contains(codes, naics_code) THEN naics_code WHEN takes THEN codes[1] ELSE sug END AS suggested_naics, url AS website_url, CASE WHEN takes THEN kc END AS company_id FROM t""",
         "results",
     ),
+    "q_fuzzy_bucket": near_twin("p_brand", 85),
+    "q_fuzzy_global": near_twin("''", 80),
     "q_fuzzy_bounds": "WITH n AS (SELECT DISTINCT p_brand, p_name FROM part) SELECT a.p_brand, a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name)::INT AS edits FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 2",
 }

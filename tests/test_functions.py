@@ -1,5 +1,7 @@
 """Hand-derived cases of the scalar functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,26 @@ def subsequences(s):
     return out
 
 
+def plain_common(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_common_lengths_of_a_batch():
+    rnd = random.Random(4)
+    word = lambda n, letters: "".join(rnd.choices(letters, k=n))
+    sizes = [0, 1, 2, 5, 30, 63, 64, 65, 100, 127, 128, 129, 200]
+    pairs = [(word(rnd.choice(sizes), x), word(rnd.choice(sizes), x)) for x in ("ab", "abcdefgh ", "aé日😀", "abcdefghijklmnopqrstuvwxyz") for _ in range(120)] + [("", ""), ("a" * 300, "a" * 299)]
+    assert fuzzy.common_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [plain_common(a, b) for a, b in pairs]
+    assert fuzzy.common_lengths([], []).tolist() == []
+
+
 def test_urls(spark):
     assert one(spark, pages.host(F.lit("HTTPS://www.Acme.com:80/x?y"))) == "acme.com" and one(spark, pages.host(F.lit("no url"))) == ""
     assert one(spark, pages.raw_domain(F.lit("https://www.yelp.com:8080/x"))) == "www.yelp.com"
