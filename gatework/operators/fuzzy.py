@@ -30,53 +30,59 @@ def sorted_words(name: Column) -> Column:
 def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
     """Lengths of the longest common subsequences of pairs, all pairs at once: a row of the table of a pair is bits, a word
     of 64 columns at a time, and each step takes the next letter of all names. Pairs of like size go together."""
-    short = [x if len(x) <= len(y) else y for x, y in zip(a, b, strict=True)]
-    long = [y if len(x) <= len(y) else x for x, y in zip(a, b, strict=True)]
-    sizes = np.array([[len(x), len(y)] for x, y in zip(short, long, strict=True)], np.int64).reshape(-1, 2)
-    out = np.zeros(len(short), np.int64)
-    order = np.lexsort((sizes[:, 1], (sizes[:, 0] + 63) // 64))
-    order = order[np.searchsorted((sizes[order, 0] + 63) // 64, 1) :]  # an empty name has nothing in common
-    while len(order):
-        words = (sizes[order[0], 0] + 63) // 64
-        n = min(np.searchsorted((sizes[order, 0] + 63) // 64, words, "right"), max(1, PAIRS_AT_ONCE // words))
-        some, order = order[:n], order[n:]
-        out[some] = common_of([short[i] for i in some], [long[i] for i in some], sizes[some], int(words))
+    both = [*a, *b]
+    size = np.fromiter(map(len, both), np.int64, len(both))
+    at, text = np.cumsum(size) - size, np.frombuffer("".join(both).encode("utf-32-le"), np.uint32)
+    (at_a, at_b), (n, m) = at.reshape(2, -1), size.reshape(2, -1)
+    swap = n > m
+    short, long, n, m = np.where(swap, at_b, at_a), np.where(swap, at_a, at_b), np.minimum(n, m), np.maximum(n, m)
+    words, out = (n + 63) // 64, np.zeros(len(a), np.int64)
+    order = np.lexsort((m, words))
+    starts = np.searchsorted(words[order], np.arange(1, words.max(initial=0) + 2))  # empty names have nothing in common
+    for w, (start, stop) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True), 1):
+        step = max(1, PAIRS_AT_ONCE // w)
+        for i in range(start, stop, step):
+            some = order[i : min(i + step, stop)]
+            out[some] = common_of(*(letters(text, at[some], size[some]) for at, size in ((short, n), (long, m))), w)
     return out
 
 
-def common_length(a: str, b: str) -> int:
-    return int(common_lengths([a], [b])[0])
-
-
-def letters(names: list[str], width: int) -> np.ndarray:
-    """The names' letters as numbers, a row each, zeros after a name's end."""
-    return np.array(names, f"<U{width}").view(np.uint32).reshape(len(names), width)
-
-
-def common_of(short: list[str], long: list[str], sizes: np.ndarray, words: int) -> np.ndarray:
-    n, widths = len(short), sizes.max(0)
-    x, y = letters(short, widths[0]), letters(long, widths[1])
-    alphabet, numbers = np.unique(np.concatenate([x.ravel(), y.ravel()]), return_inverse=True)
-    x, y = numbers[: x.size].reshape(x.shape), numbers[x.size :].reshape(y.shape)
-    all_, none = np.arange(n), len(alphabet)
-    places = np.zeros((words, n, none + 1), np.uint64)  # where in the short name each letter is; the last stands for no letter
-    for i in range(widths[0]):
-        there = all_[i < sizes[:, 0]]
-        places[i // 64, there, x[there, i]] |= np.uint64(1 << (i % 64))
-    rows = [np.full(n, ~np.uint64(0)) for _ in range(words)]
-    for j in range(widths[1]):
-        at = np.where(j < sizes[:, 1], y[:, j], none)
-        carry = np.zeros(n, np.uint64)
+def letters(text: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of names that begin at `at`, a column each, and where a name has one."""
+    row = np.arange(int(sizes.max()))[:, None]
+    return text.take(np.minimum(at + row, len(text) - 1)), row < sizes
+
+
+def common_of(short: tuple[np.ndarray, np.ndarray], long: tuple[np.ndarray, np.ndarray], words: int) -> np.ndarray:
+    (x, in_x), (y, in_y) = short, long
+    used = np.zeros(max(x.max(), y.max()) + 1, bool)
+    used[x] = used[y] = True
+    number = np.cumsum(used)  # from 1; 0 stands for no letter
+    size, pairs = int(number[-1]) + 1, x.shape[1]
+    base = np.arange(pairs) * size
+    x, y = (np.where(there, number[z], 0) + base for z, there in ((x, in_x), (y, in_y)))
+    places = np.zeros((words, pairs * size), np.uint64)  # where in the short name each letter is
+    for i, at in enumerate(x):
+        places[i // 64, at] |= np.uint64(1 << (i % 64))
+    places[:, base] = 0
+    rows = np.full((words, pairs), ~np.uint64(0))
+    for at in y:
+        carry = None
         for w in range(words):
             row = rows[w]
-            match = row & places[w, all_, at]
+            match = row & places[w].take(at)
             total = row + match
-            over = total < row
-            total += carry
-            carry = (over | (total < carry)).astype(np.uint64)
+            if words > 1:
+                over = total < row
+                total += carry if w else np.uint64(0)
+                carry = (over | (total < carry if w else False)).astype(np.uint64)
             rows[w] = total | (row - match)
     # a zero is a letter in common; bits past the short name's end stay ones, for no letter is there
-    return sum(64 - np.bitwise_count(row).astype(np.int64) for row in rows)
+    return 64 * words - np.bitwise_count(rows).sum(0, dtype=np.int64)
+
+
+def common_length(a: str, b: str) -> int:
+    return int(common_lengths([a], [b])[0])
 
 
 @F.pandas_udf(DoubleType())
