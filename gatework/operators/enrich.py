@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatework.config import DEFAULT, Config
 from gatework.functions import fixed, rules
 from gatework.functions.codes import keyword_score, prefix
+from gatework.functions.literals import required_literals
 from gatework.functions.text import blank, company_key, filled, first_filled, listed_codes, page_tokens, plain_key
 from gatework.operators.candidates import best_codes
 from gatework.operators.lookup import by_values, code_status, first_by, joined_filled, keyword_index, last_titles
@@ -273,18 +274,38 @@ def without_junk(results: DataFrame, domains: DataFrame) -> DataFrame:
     return df.withColumns({f: F.when(junk, v).otherwise(F.col(f)) for f, v in new.items()}).drop("junk_")
 
 
+def letter_grams(text: Column) -> Column:
+    """The distinct pairs and triples of neighbouring letters."""
+    grams = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(grams(2), grams(3)))
+
+
+def meetings(names: DataFrame, table: DataFrame, shares: int = 16) -> DataFrame:
+    """(name, entry) of the names (name, lower-cased and distinct) in which an entry's pattern (pattern, entry) is found.
+
+    Whatever a pattern's alternatives and options are, a match has one of its required literals. A literal's rarest letters
+    among the names, three or two, are what it meets names by; a pattern without any meets all, dealt to some tasks."""
+    grams = names.select("name", F.explode(letter_grams(F.col("name"))).alias("gram"))
+    rarity = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    wanted = table.select("pattern", "entry", required_literals("pattern").alias("literals"))
+    open_ = (F.size("literals") == 0) | F.exists("literals", lambda w: F.length(w) < 2)
+    by_literal = wanted.where(~open_).select("pattern", "entry", F.explode("literals").alias("literal"))
+    each = by_literal.withColumn("gram", F.explode(F.filter(letter_grams(F.col("literal")), lambda g: F.length(g) == F.least(F.length("literal"), F.lit(3)))))
+    rarest = each.join(rarity, "gram", "left").groupBy("pattern", "entry", "literal").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    met = grams.join(rarest, "gram").where(F.col("name").contains(F.col("literal"))).select("name", "pattern", "entry")
+    dealt = wanted.where(open_).select("pattern", "entry", F.explode(F.array(*map(F.lit, range(shares)))).alias("share"))
+    others = names.withColumn("share", F.pmod(F.xxhash64("name"), F.lit(shares)).cast("int")).join(dealt, "share").select("name", "pattern", "entry")
+    return met.unionByName(others).where("name rlike pattern").select("name", "entry").distinct()
+
+
 def known_companies(results: DataFrame, table: DataFrame) -> DataFrame:
     """Unresolved results of companies in a curated table (company_id, pattern, unit_pattern, codes, code, title, ord): the
     reported code is confirmed if it is one of the company's, else the company's code is suggested. The first entry whose
-    patterns the company and the establishment have counts. A pattern with a whole word in it, outside of alternatives and
-    options, meets the distinct names that have the word only; the others, exceptions of an exceptions list, meet all."""
-    names = results.select("company_name", "establishment_name").distinct()
-    word = F.regexp_extract("pattern", r"(?:^|\\s\+)?\\b([a-z0-9]+)\\b", 1)
-    table = table.withColumn("word_", F.when(~F.col("pattern").rlike(r"[|?*{\[(]") & (word != ""), word))
-    met = F.expr("lower(coalesce(company_name, '')) rlike pattern") & F.expr("unit_pattern is null or lower(coalesce(establishment_name, '')) rlike unit_pattern")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("company_name", F.lit(""))), F.lit(r"(\w+)")))
-    pairs = names.withColumn("word_", F.explode(words)).join(table.where("word_ is not null"), "word_").where(met)
-    pairs = pairs.unionByName(names.withColumn("word_", F.lit("")).join(table.where("word_ is null").drop("word_"), met))
+    patterns the company and the establishment have counts. A null company is one without a name."""
+    names = results.select("company_name", "establishment_name").distinct().withColumn("name", F.lower(F.coalesce("company_name", F.lit(""))))
+    entry = F.struct("ord", "company_id", "unit_pattern", "codes", "code", "title")
+    found = names.join(meetings(names.select("name").distinct(), table.select("pattern", entry.alias("entry"))), "name").select("company_name", "establishment_name", "entry.*")
+    pairs = found.where("unit_pattern is null or lower(coalesce(establishment_name, '')) rlike unit_pattern")
     best = pairs.groupBy("company_name", "establishment_name").agg(F.min(F.struct("ord", "company_id", "codes", "code", "title")).alias("kc_"))
     left, right = results.alias("l"), best.alias("r")
     same = F.col("l.company_name").eqNullSafe(F.col("r.company_name")) & F.col("l.establishment_name").eqNullSafe(F.col("r.establishment_name"))
