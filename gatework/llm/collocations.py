@@ -4,8 +4,9 @@ Almost all n-grams of a corpus are rare, and counting them all would move many t
 n-gram into a count-min sketch: rows of counters that never fall short of the true count. The sketch is cut into shards by
 the hash; a task sends the shards' counters for its own n-grams, which Spark merges in two levels, whatever the number of
 tasks. Counters stop at the threshold, as only reaching it matters; a merged shard is then a bit a counter. A second pass
-reads the texts again and keeps the n-grams whose counters all reached the threshold, as phrases, and Spark sums those
-exactly. A sketch only overestimates, so nothing frequent is lost; what survives by chance falls to the exact count.
+reads the texts again and keeps the n-grams whose counters all reached the threshold, as phrases with exact counts. A task
+adds up its own and sends them packed, by buckets of the hash, which are merged in two levels as well. A sketch only
+overestimates, so nothing frequent is lost; what survives by chance falls to the exact count.
 
 Every part of a frequent phrase is frequent too, so the same counts give a candidate's parts. Scores are exact decimals.
 """
@@ -28,12 +29,14 @@ from gatework.llm.common import LOWER, UPPER, over_texts, slices, written
 LONGEST, LEAST, TOP = 5, 100, 2000
 BREAKS, SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Bytes of text whose n-grams are made at once, and bytes of text whose counters are sent together.
-SLICE_BYTES, SENT_BYTES = 4 << 20, 20 << 20
+SLICE_BYTES, SENT_BYTES = 4 << 20, 12 << 20
 #: Rows of the sketch, and bits of a shard's number of counters in each.
 ROWS, SHARD_BITS = 2, 19
-#: Bytes of text for each counter of a row (an n-gram ends every 1.7 bytes or so), and the most shards. Past these, at
-#: some 17 GB of text, counters fill up: more rare n-grams reach the exact count, and none is lost.
-TEXT_PER_COUNTER, SHARDS = 32, 1024
+#: Bytes of text for each counter of a row (an n-gram ends every 1.7 bytes or so), the least and the most shards. Past the
+#: most, at some 8 GB of text, counters fill up: more rare n-grams reach the exact count, and none is lost.
+TEXT_PER_COUNTER, LEAST_SHARDS, SHARDS = 16, 128, 1024
+#: Bytes of phrases that a task holds before it adds them up, bytes of text for each bucket of phrases, and the most buckets.
+HELD_BYTES, TEXT_PER_BUCKET, BUCKETS = 48 << 20, 16 << 20, 1 << 14
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[list(UPPER.encode())] = list(LOWER.encode())
@@ -42,6 +45,9 @@ KIND[list(SPACES)] = 1
 KIND[list(BREAKS)] = 2
 
 
+COUNTED = ["lang", "phrase", "h", "f"]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -86,17 +92,22 @@ class Grams:
             h = mixed(h[fits] * np.uint64(0x9E3779B97F4A7C15) + word[at + k - 1])
             yield k, at, h
 
-    def phrases(self, at: np.ndarray, k: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
-        """Language, phrase and count of the distinct phrases of k words that begin at `at`."""
+    def phrases(self, at: np.ndarray, h: np.ndarray, k: int) -> pa.RecordBatch:
+        """Language, phrase, hash and count of the distinct phrases of k words that begin at `at`."""
         key = self.lang[at]
         for j in range(k):
             _, key = np.unique(key, return_inverse=True)
             key = key * len(self.words) + self.ids[at + j]
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        at = at[first]
+        at, h = at[first], h[first]
         columns = [self.words.take(pa.array(self.ids[at + j])) for j in range(k)]
         phrase = columns[0] if k == 1 else pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()))
-        return self.langs.take(pa.array(self.lang[at])), phrase.cast(pa.string()), counts
+        return pa.RecordBatch.from_arrays([self.langs.take(pa.array(self.lang[at])), phrase.cast(pa.string()), pa.array(h), pa.array(counts, pa.int64())], COUNTED)
+
+    def totals(self) -> pa.RecordBatch:
+        """The words of each language, as the count of no phrase."""
+        counts = np.bincount(self.lang, minlength=len(self.langs))
+        return pa.RecordBatch.from_arrays([self.langs, pa.nulls(len(counts), pa.string()), pa.array(np.zeros(len(counts), np.uint64)), pa.array(counts, pa.int64())], COUNTED)
 
 
 def cut_long(batch: pa.RecordBatch, most: int):
@@ -137,7 +148,8 @@ def counters(h: np.ndarray, bits: int):
 
 def sent(h: list[np.ndarray], bits: int, least: int, kind):
     """Shard and packed counters of all rows, for each shard that h touches."""
-    h = np.sort(np.concatenate(h))
+    h = np.concatenate(h)
+    h.sort()
     shard = (h >> np.uint64(64 - bits + SHARD_BITS)).astype(np.int64) if bits > SHARD_BITS else np.zeros(len(h), np.int64)
     edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -156,7 +168,7 @@ def added(parts: list, least: int, kind) -> np.ndarray:
 
 def sketch(texts: DataFrame, size: int, longest: int, least: int) -> tuple[np.ndarray, int]:
     """The bits of all counters, row by row, which say whether a counter reached `least`; and the bits of a row's size."""
-    shards = 1
+    shards = LEAST_SHARDS
     while shards < SHARDS and shards * TEXT_PER_COUNTER << SHARD_BITS < size:
         shards *= 2
     bits = SHARD_BITS + shards.bit_length() - 1
@@ -199,26 +211,67 @@ def sketch(texts: DataFrame, size: int, longest: int, least: int) -> tuple[np.nd
     return reached, bits
 
 
+def summed(tables: list) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "phrase", "h"], use_threads=False).aggregate([("f", "sum")]).rename_columns(COUNTED)
+
+
+def packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def merged(rows: pa.Table) -> pa.Table:
+    return summed([pa.ipc.open_stream(r.as_py()).read_all() for r in rows.column("rows")])
+
+
 def frequent(docs: DataFrame, text_col: str, lang_col: str, longest: int, least: int) -> DataFrame:
     """lang, phrase, f of all phrases of 1 to `longest` words with f >= least; phrase null: the language's words."""
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     reached, bits = sketch(texts, size, longest, least)
     bitmap = docs.sparkSession.sparkContext.broadcast(reached)
+    buckets, groups = min(BUCKETS, max(64, size // TEXT_PER_BUCKET)), isqrt(size // SENT_BYTES) + 1
 
     def run(batches):
-        rows = bitmap.value
-        names = ["lang", "phrase", "f"]
+        from pyspark import TaskContext
+
+        rows, held, bytes_ = bitmap.value, [], 0
         for _, found in grams(batches):
-            counts = np.bincount(found.lang, minlength=len(found.langs))
-            yield pa.RecordBatch.from_arrays([found.langs, pa.nulls(len(counts), pa.string()), pa.array(counts, pa.int64())], names)
+            new = [found.totals()]
             for k, at, h in found.hashes(longest):
-                there = [(row[c >> 3] >> (c & 7).astype(np.uint8)) & 1 for row, c in zip(rows, counters(h, bits), strict=True)]
-                lang, phrase, f = found.phrases(at[np.all(there, axis=0)], k)
-                yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(f, pa.int64())], names)
+                there = np.all([(row[c >> 3] >> (c & 7).astype(np.uint8)) & 1 for row, c in zip(rows, counters(h, bits), strict=True)], axis=0)
+                new.append(found.phrases(at[there], h[there], k))
+            held.append(summed([pa.Table.from_batches(new)]))
+            bytes_ += held[-1].nbytes
+            if bytes_ > HELD_BYTES:
+                held = [summed(held)]
+                bytes_ = held[0].nbytes
+                if bytes_ > HELD_BYTES // 2:
+                    yield from sends(held[0], TaskContext.get().partitionId())
+                    held, bytes_ = [], 0
+        if held:
+            yield from sends(summed(held), TaskContext.get().partitionId())
+
+    def sends(table, task):
+        bucket = pa.array((table.column("h").to_numpy() % np.uint64(buckets)).astype(np.int32))
+        table = table.append_column("bucket", bucket).sort_by([("bucket", "ascending"), ("phrase", "ascending")])
+        bucket = table.column("bucket").to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        parts = [packed(table.slice(a, b - a).drop_columns("bucket")) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array([task % groups] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["bucket", "part", "rows"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        return pa.table({"bucket": rows.column("bucket")[:1], "rows": pa.array([packed(merged(rows))], pa.binary())})
+
+    def full(rows: pa.Table) -> pa.Table:
+        total = merged(rows)
+        return total.filter(pc.or_(pc.greater_equal(total.column("f"), least), pc.is_null(total.column("phrase")))).select(["lang", "phrase", "f"])
 
-    counted = over_texts(texts, run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return written(counted.where((F.col("f") >= least) | F.col("phrase").isNull()), "phrases")
+    parts = over_texts(texts, run, "bucket int, part int, rows binary")
+    counted = parts.groupBy("bucket", "part").applyInArrow(merge, "bucket int, rows binary").groupBy("bucket").applyInArrow(full, "lang string, phrase string, f long")
+    return written(counted, "phrases")
 
 
 def joined(first: Column, size: Column) -> Column:

@@ -67,7 +67,9 @@ def test_empty(spark):
 def test_small_parts_and_a_full_sketch_lose_nothing(spark, monkeypatch):
     """Few counters, small slices and messages: more survives the sketch, the answer stays."""
     monkeypatch.setattr(c, "SHARD_BITS", 6)
+    monkeypatch.setattr(c, "LEAST_SHARDS", 2)
     monkeypatch.setattr(c, "SHARDS", 4)
+    monkeypatch.setattr(c, "HELD_BYTES", 500)
     monkeypatch.setattr(c, "SENT_BYTES", 300)
     rows = text_rows()
     assert sorted(map(tuple, c.collocations(frame(spark, rows).repartition(3), least=8).collect())) == plain(rows, least=8)
