@@ -1,7 +1,8 @@
 """The eight checks of a record, and its priority.
 
 Each gate takes records and adds one 0/1 column; group facts are aggregated once (partial sums before the shuffle) and
-joined back, so a key with very many records costs one row a task.
+joined back, so a key with very many records costs one row a task. All gates together ask six of the eight of one table of
+the distinct codes, which the records meet once.
 """
 
 from __future__ import annotations
@@ -69,6 +70,26 @@ def rarity_gate(records: DataFrame, keys: tuple[str, ...] = ("naics_code",), bel
     return records.join(rare, same, "left").withColumn(out, flag(F.col("rare_n_").isNotNull())).drop("rare_n_", *[f"rare_{k}_" for k in keys])
 
 
+#: Quartiles.
+SHARES = (0.25, 0.5, 0.75)
+
+
+def ranked_quartiles(last: Column) -> tuple[list[Column], Column]:
+    """Aggregates of a group's distinct values `size_v_`, each with `size_upto_` of the values up to it, and the exact
+    quartiles from them; `last` is the group's number of values less one."""
+    at = lambda place: F.min(F.when(F.col("size_upto_") > place, F.col("size_v_")))
+    low = [at(F.floor(last * p)).alias(f"size_low{i}_") for i, p in enumerate(SHARES)]
+    high = [at(F.ceil(last * p)).alias(f"size_high{i}_") for i, p in enumerate(SHARES)]
+    ends = lambda i: (F.col(f"size_low{i}_"), F.col(f"size_high{i}_"))
+    between = lambda a, b, p: (F.ceil(last * p) - last * p) * a + (last * p - F.floor(last * p)) * b
+    return [*low, *high], F.array(*[F.when(ends(i)[0] == ends(i)[1], ends(i)[0]).otherwise(between(*ends(i), p)) for i, p in enumerate(SHARES)])
+
+
+def fences(quartiles: Column, least: float, cfg: Config) -> dict[str, Column]:
+    q1, q3 = quartiles[0], quartiles[2]
+    return {"size_low_": F.greatest(F.lit(float(least)), q1 - cfg.size_iqrs * (q3 - q1)), "size_high_": q3 + cfg.size_iqrs * (q3 - q1), "size_median_": quartiles[1]}
+
+
 def size_bounds(records: DataFrame, key: str, value: Column, cfg: Config = DEFAULT, floor: float | None = None) -> DataFrame:
     """(key, size_low_, size_high_, size_median_): exact quartiles of values from the floor on, three interquartile ranges
     away; only of groups of ten or more. Values are counted, then found by their ranks, so that no buffer holds a group."""
@@ -77,20 +98,10 @@ def size_bounds(records: DataFrame, key: str, value: Column, cfg: Config = DEFAU
     counts = kept.groupBy("size_key_", "size_v_").agg(F.count("*").alias("n"))
     large = counts.groupBy("size_key_").agg(F.sum("n").alias("size_n_")).where(F.col("size_n_") >= cfg.size_group)
     upto = F.sum("n").over(Window.partitionBy("size_key_").orderBy("size_v_").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.join(large, "size_key_").withColumn("upto", upto)
-    last = F.col("size_n_") - 1
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("size_v_")))
-    shares = (0.25, 0.5, 0.75)
-    low = [at(F.floor(last * p)).alias(f"low{i}") for i, p in enumerate(shares)]
-    high = [at(F.ceil(last * p)).alias(f"high{i}") for i, p in enumerate(shares)]
-    q = ranked.groupBy("size_key_", "size_n_").agg(*low, *high)
-    between = lambda i, p: (F.ceil(last * p) - last * p) * F.col(f"low{i}") + (last * p - F.floor(last * p)) * F.col(f"high{i}")
-    exact = [F.when(F.col(f"low{i}") == F.col(f"high{i}"), F.col(f"low{i}")).otherwise(between(i, p)) for i, p in enumerate(shares)]
-    q = q.select("size_key_", F.array(*exact).alias("q"))
-    q1, q3 = F.col("q")[0], F.col("q")[2]
-    return q.select(
-        "size_key_", F.greatest(F.lit(float(least)), q1 - cfg.size_iqrs * (q3 - q1)).alias("size_low_"), (q3 + cfg.size_iqrs * (q3 - q1)).alias("size_high_"), F.col("q")[1].alias("size_median_")
-    )
+    ranked = counts.join(large, "size_key_").withColumn("size_upto_", upto)
+    values, quartiles = ranked_quartiles(F.col("size_n_") - 1)
+    q = ranked.groupBy("size_key_", "size_n_").agg(*values).withColumn("q", quartiles)
+    return q.select("size_key_", *[c.alias(name) for name, c in fences(F.col("q"), least, cfg).items()])
 
 
 def size_gate(records: DataFrame, cfg: Config = DEFAULT, key: str = "naics_code", value: Column | None = None, out: str = "flag_emp_size_anomaly", floor: float | None = None) -> DataFrame:
@@ -107,6 +118,11 @@ def rate_gates(records: DataFrame, benchmarks: DataFrame, cfg: Config = DEFAULT)
     digits. 7: the incident rate is over twice a positive benchmark. 8: 50 or more employees without incidents where the
     benchmark is 2 or more (negative counts are without)."""
     df = cascade(records, F.col("naics_code"), benchmarks, (6, 5, 4, 3), "bls_benchmark", "bls_matched_naics")
+    return outlier_flags(df, cfg)
+
+
+def outlier_flags(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Gates 7 and 8, and trir, of records with their bls_benchmark."""
     whole = lambda c: strip(F.col(c)).try_cast("bigint")
     injuries, hours, employees = whole("total_injuries"), whole("total_hours_worked"), whole("annual_average_employees")
     df = df.withColumn("trir", incident_rate(injuries, hours))
@@ -128,7 +144,50 @@ def priority(records: DataFrame) -> DataFrame:
     return records.withColumns({"n_flags": sum(f[1:], f[0]), "priority_tier": tier})
 
 
+def code_facts(records: DataFrame, codes: DataFrame, benchmarks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """A row for each distinct code, null too: fact_n_ (its records), size_low_ and size_high_ (gate 6), fact_valid_ and
+    fact_padded_ (gates 1 and 2), fact_rate_ and fact_matched_ (gates 7 and 8).
+
+    Records are counted once, by code and size: rarity and quartiles come from the counts. A code's prefixes, five at most,
+    meet the valid codes and the benchmarks in one join each."""
+    code = F.col("naics_code")
+    counts = records.groupBy("naics_code", number(F.col("annual_average_employees")).cast("double").alias("size_v_")).agg(F.count("*").alias("n"))
+    counted = F.when((F.col("size_v_") >= cfg.size_floor) & code.isNotNull(), F.col("n")).otherwise(F.lit(0))
+    all_ = Window.partitionBy("naics_code")
+    upto = F.sum(counted).over(all_.orderBy("size_v_").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumns({"fact_n_": F.sum("n").over(all_), "size_n_": F.sum(counted).over(all_), "size_upto_": upto})
+    values, quartiles = ranked_quartiles(F.col("size_n_") - 1)
+    facts = counts.groupBy("naics_code", "fact_n_", "size_n_").agg(*values).withColumn("q", F.when(F.col("size_n_") >= cfg.size_group, quartiles))
+    facts = facts.select("naics_code", "fact_n_", *[c.alias(name) for name, c in fences(F.col("q"), cfg.size_floor, cfg).items() if name != "size_median_"])
+
+    c = F.coalesce(code, F.lit(""))
+    form = lambda n, p, whole, padded: F.struct(F.lit(n).alias("digits"), p.alias("form"), whole.alias("whole"), padded.alias("padded"))
+    forms = [form(n, prefix(c, n), F.lit(False), c.rlike(f"^[0-9]{{{n}}}0{{{6 - n}}}$") if n < 6 else F.lit(False)) for n in (6, 5, 4, 3, 2)]
+    each = facts.withColumn("form_", F.explode(F.array(form(0, c, c.rlike("^[0-9]{2,6}$"), F.lit(False)), *forms))).select(*facts.columns, "form_.*")
+    known = codes.select(F.col("code").alias("form")).distinct().withColumn("known", F.lit(True))
+    each = each.join(known, "form", "left").join(benchmarks.select(F.col("prefix").alias("form"), F.struct("value").alias("rate")), "form", "left")
+    known, digits = F.coalesce("known", F.lit(False)), F.col("digits")
+    best = F.max(F.when(code.isNotNull() & F.col("rate").isNotNull() & (digits >= 3), F.struct("digits", "rate.value", "form")))
+    kept = [F.first(n).alias(n) for n in facts.columns[1:]]
+    out = each.groupBy("naics_code").agg(*kept, F.max(known & F.col("whole")).alias("fact_valid_"), F.max(known & F.col("padded")).alias("fact_padded_"), best.alias("best_"))
+    return out.select("*", F.col("best_.value").alias("fact_rate_"), F.col("best_.form").alias("fact_matched_")).drop("best_")
+
+
 def all_gates(records: DataFrame, codes: DataFrame, benchmarks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    df = name_gate(code_gates(records, codes))
-    df = size_gate(rarity_gate(entity_gate(df), below=cfg.rare_below), cfg)
-    return priority(rate_gates(df, benchmarks, cfg))
+    """records with all eight flags, trir, bls_benchmark, bls_matched_naics, n_flags and priority_tier, as the gates one by
+    one would give them. benchmarks: (prefix, value), a row a prefix."""
+    facts = code_facts(records, codes, benchmarks, cfg).withColumnRenamed("naics_code", "fact_code_")
+    df = records.join(facts, records["naics_code"].eqNullSafe(facts["fact_code_"]), "left")
+    short, valid, padded = F.length(F.coalesce("naics_code", F.lit(""))) < 6, F.col("fact_valid_"), F.col("fact_padded_")
+    size = number(F.col("annual_average_employees"))
+    df = df.withColumns(
+        {
+            "flag_invalid_naics_code": flag(~valid & (short | ~padded)),
+            "flag_incomplete_naics_code": flag((short & valid) | (~short & ~valid & padded)),
+            "flag_naics_count_anomaly": flag(F.col("fact_n_") < cfg.rare_below),
+            "flag_emp_size_anomaly": flag((size >= cfg.size_floor) & ((size < F.col("size_low_")) | (size > F.col("size_high_")))),
+            "bls_benchmark": F.col("fact_rate_"),
+            "bls_matched_naics": F.col("fact_matched_"),
+        }
+    ).drop("fact_code_", "fact_n_", "fact_valid_", "fact_padded_", "fact_rate_", "fact_matched_", "size_low_", "size_high_")
+    return priority(entity_gate(name_gate(outlier_flags(df, cfg))))

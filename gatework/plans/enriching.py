@@ -16,7 +16,8 @@ CLASSES = ["id", "match_status", "naics_verified", "naics_description", "confide
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.classify(flagged(spark, sf_dir))
+    """Classes need no flags."""
+    return enrich.classify(derived(spark, sf_dir, "records"))
 
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +126,7 @@ SELECT key, match, round(score, 6) AS score FROM l JOIN best USING (block, a)"""
 QUERIES = {
     "q_classify_first_match": lambda spark, sf_dir: classified(spark, sf_dir).select(*CLASSES),
     "q_top_corrections": lambda spark, sf_dir: reports.top_changes(classified(spark, sf_dir)),
-    "q_route_uncertain": lambda spark, sf_dir: enrich.routed(classified(spark, sf_dir)).select("id", "n_flags", "match_status", "confidence"),
+    "q_route_uncertain": lambda spark, sf_dir: enrich.routed(enrich.classify(flagged(spark, sf_dir))).select("id", "n_flags", "match_status", "confidence"),
     "q_sample_diverse": lambda spark, sf_dir: enrich.diverse(flagged(spark, sf_dir)).select("id", "n_flags", company_key(F.col("company_name"), F.col("establishment_name")).alias("company")),
     "q_seed_prior": seeded,
     "q_crosswalk_precedence": crosswalked,
