@@ -34,9 +34,24 @@ def combined(records: DataFrame, flagged: DataFrame, triaged: DataFrame | None =
     return df.withColumn("error_type", error_type(F.col("naics_code"), F.coalesce(F.col("flag_invalid_naics_code") == 1, F.lit(False))))
 
 
-def joined_names(c: Column, sep: str) -> Column:
-    """The distinct filled values of a group, sorted and joined."""
-    return F.array_join(F.array_sort(F.collect_set(filled(blank(c)))), sep)
+#: Letters of a list of names that are kept.
+LIST_LETTERS = 200
+
+
+def name_list(df: DataFrame, key: str, value: str, out: str, sep: str = "; ", most: int | None = LIST_LETTERS) -> DataFrame:
+    """(key, out): the distinct filled values of a key, sorted, joined and cut at `most` letters, if any (states need no cut).
+
+    Values are made distinct before they meet. As every value takes a letter and a separator at least, only the first
+    most / (1 + separator) by order can show, and Spark keeps no more of a key, in each task and after the shuffle: a value
+    longer than the cut is cut first, which keeps the order of what shows."""
+    v = filled(blank(F.col(value)))
+    values = df.select(key, (F.substring(v, 1, most + 1) if most else v).alias("v_")).where(F.col(key).isNotNull() & F.col("v_").isNotNull()).distinct()
+    listed = F.array_join(F.array_sort(F.collect_list("v_")), sep)
+    if not most:
+        return values.groupBy(key).agg(listed.alias(out))
+    shown = most // (1 + len(sep)) + 1
+    first = values.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy("v_"))).where(F.col("r_") <= shown)
+    return first.groupBy(key).agg(F.substring(listed, 1, most).alias(out))
 
 
 def placeholder_reporters(df: DataFrame, kind: str = "PLACEHOLDER_999999") -> DataFrame:
@@ -46,13 +61,15 @@ def placeholder_reporters(df: DataFrame, kind: str = "PLACEHOLDER_999999") -> Da
     years = year.groupBy("ein").agg(
         F.count("*").alias("years_with_999999"), F.sum("n").alias("total_establishments"), F.array_sort(F.collect_list(F.struct("year", "n"))).alias("y"),
     )
-    names = rows.groupBy("ein").agg(joined_names(F.col("company_name"), "; ").alias("c"), joined_names(F.col("establishment_name"), "; ").alias("e"), joined_names(F.col("state"), ", ").alias("states"))
+    lists = [name_list(rows, "ein", value, out, *more) for value, out, *more in (("company_name", "c"), ("establishment_name", "e"), ("state", "states", ", ", None))]
     present = df.where("ein is not null").groupBy("ein").agg(F.count_distinct("year").alias("years_present_total"))
-    out = years.where("years_with_999999 >= 2").join(names, "ein").join(present, "ein")
+    out = years.where("years_with_999999 >= 2").join(present, "ein")
+    for names in lists:
+        out = out.join(names, "ein", "left")
     return out.select(
-        "ein", F.substring(F.when(F.col("c") != "", F.col("c")).otherwise(F.col("e")), 1, 200).alias("company_name"), "years_with_999999", "years_present_total",
+        "ein", F.coalesce("c", "e", F.lit("")).alias("company_name"), "years_with_999999", "years_present_total",
         F.array_join("y.year", ", ").alias("years_list"), "total_establishments",
-        F.array_join(F.transform("y", lambda s: F.concat(s["year"], F.lit(":"), s["n"].cast("string"))), "; ").alias("establishments_per_year"), "states",
+        F.array_join(F.transform("y", lambda s: F.concat(s["year"], F.lit(":"), s["n"].cast("string"))), "; ").alias("establishments_per_year"), F.coalesce("states", F.lit("")).alias("states"),
     )
 
 
@@ -99,11 +116,15 @@ def chronic_downshifters(s: DataFrame) -> DataFrame:
     """Entities with two real downward changes or more."""
     down = downward(s).where("ein is not null")
     a = down.groupBy("ein").agg(
-        joined_names(F.col("company_name"), "; ").alias("company_name"), F.count("*").alias("n_downshifts"), F.count_distinct("establishment_id").alias("n_establishments_affected"),
+        F.count("*").alias("n_downshifts"), F.count_distinct("establishment_id").alias("n_establishments_affected"),
         F.coalesce(F.sum("employees"), F.lit(0.0)).alias("total_employees_affected"), F.round(F.avg("dart_delta"), 2).alias("avg_dart_delta"), F.round(F.min("dart_delta"), 2).alias("worst_dart_delta"),
-        F.array_union(F.collect_set("year_from"), F.collect_set("year_to")).alias("y"), joined_names(F.col("state"), ", ").alias("states"),
+        F.array_union(F.collect_set("year_from"), F.collect_set("year_to")).alias("y"),
     )
-    return a.where("n_downshifts >= 2").withColumns({"company_name": F.substring("company_name", 1, 200), "years_active": F.array_join(F.array_sort("y"), ", ")}).drop("y")
+    a = a.where("n_downshifts >= 2")
+    for names in (name_list(down, "ein", "company_name", "company_name"), name_list(down, "ein", "state", "states", ", ", None)):
+        a = a.join(names, "ein", "left")
+    filled_lists = {c: F.coalesce(c, F.lit("")) for c in ("company_name", "states")}
+    return a.withColumns({"years_active": F.array_join(F.array_sort("y"), ", "), **filled_lists}).drop("y")
 
 
 def persistence_summary(df: DataFrame, s: DataFrame, years: int = 4, keep: Callable[[DataFrame, str], DataFrame] = lambda df, what: df) -> DataFrame:

@@ -22,15 +22,25 @@ def allocation(counts: DataFrame, total: int, floor: int = 2) -> DataFrame:
 
 
 def draw(id_col: Column, seed: int) -> Column:
-    """A number by which rows are drawn: the same in every engine that has md5."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
+    """A number by which rows are drawn: the same in every engine that has md5. A null id is drawn as an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
 
 
-def stratified(pool: DataFrame, sizes: DataFrame, stratum: str, seed: int, key: str = "id") -> DataFrame:
-    """For each stratum as many rows as sizes (stratum, allotted) says, those of the smallest draws."""
-    w = Window.partitionBy(stratum).orderBy(draw(F.col(key), seed), key)
-    ranked = pool.join(sizes, stratum).withColumn("draw_", F.row_number().over(w))
-    return ranked.where(F.col("draw_") <= F.col("allotted")).drop("draw_", "allotted")
+def near_draws(pool: DataFrame, sizes: DataFrame, stratum: str, seed: int, key: str, digits: int) -> DataFrame:
+    """pool with allotted and draw_, the rows that may be drawn: draws are counted by their first hexadecimal digits, which
+    partial sums settle, and of each stratum the rows stay up to the digits at which its number is reached."""
+    drawn = pool.join(sizes, stratum).withColumns({"draw_": draw(F.col(key), seed), "first_": F.substring(draw(F.col(key), seed), 1, digits)})
+    counts = drawn.groupBy(stratum, "allotted", "first_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(stratum).orderBy("first_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before_", before).where("before_ < allotted").groupBy(stratum).agg(F.max("first_").alias("last_"))
+    return drawn.join(last, stratum).where("first_ <= last_").drop("first_", "last_")
+
+
+def stratified(pool: DataFrame, sizes: DataFrame, stratum: str, seed: int, key: str = "id", digits: int = 4) -> DataFrame:
+    """For each stratum as many rows as sizes (stratum, allotted) says, those of the smallest draws. Repeated rows count each.
+    Only rows that may be drawn are ranked, so no task orders a stratum."""
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("draw_", key))
+    return near_draws(pool, sizes, stratum, seed, key, digits).withColumn("rank_", rank).where("rank_ <= allotted").drop("draw_", "rank_", "allotted")
 
 
 def review_sheet(sample: DataFrame, records: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Stages from the command line: python -m gatework.run STAGE --in name=path ... --out path [--dry-run]
 
-Inputs are Parquet folders or CSV files. Without --out, or with --dry-run, a stage only reports what it would write. The
+Inputs are Parquet folders, CSV files, or workbooks (code lists of several vintages by commas, rates, reviews). Without --out, or with --dry-run, a stage only reports what it would write. The
 stage `quality` ends with status 1 if the batch doesn't pass.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gatework.config import DEFAULT
 from gatework.operators import assess, enrich, gates, lookup, persistence, premium, reports, validation
-from gatework.sources import io
+from gatework.sources import io, workbook
 from gatework.streaming import budget
 from gatework.streaming.incremental import pending
 
@@ -24,6 +24,13 @@ Tables = dict[str, DataFrame]
 #: Stage: the tables it takes, what it does, and the column whose histogram it reports.
 STAGES: dict[str, tuple[tuple[str, ...], Callable[[Tables], DataFrame], str | None]] = {
     "gates": (("records", "codes", "rates"), lambda t: gates.all_gates(t["records"], lookup.valid_codes(t["codes"]), t["rates"]), "priority_tier"),
+    "gate-codes": (("records", "codes"), lambda t: gates.code_gates(t["records"], lookup.valid_codes(t["codes"])), "flag_invalid_naics_code"),
+    "gate-names": (("records",), lambda t: gates.name_gate(t["records"]), "flag_name_naics_mismatch"),
+    "gate-entities": (("records",), lambda t: gates.entity_gate(t["records"]), "flag_ein_multi_naics"),
+    "gate-rarity": (("records",), lambda t: gates.rarity_gate(t["records"]), "flag_naics_count_anomaly"),
+    "gate-sizes": (("records",), lambda t: gates.size_gate(t["records"]), "flag_emp_size_anomaly"),
+    "gate-rates": (("records", "rates"), lambda t: gates.rate_gates(t["records"], t["rates"]), "flag_injury_rate_outlier"),
+    "gate-zeros": (("records", "rates"), lambda t: gates.rate_gates(t["records"], t["rates"]), "flag_high_emp_zero_injury"),
     "classify": (("flagged",), lambda t: enrich.classify(t["flagged"]), "match_status"),
     "route": (("classified",), lambda t: enrich.routed(t["classified"]), "match_status"),
     "sample": (("classified",), lambda t: enrich.diverse(t["classified"]), None),
@@ -63,7 +70,17 @@ def next_run(tables: Tables, calls: int, carried: int) -> DataFrame:
     return budget.next_run(tables["records"], tables["results"], each, ["priority_tier", "ord"] if "priority_tier" in tables["records"].columns else ["ord"], calls, carried)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+#: What a workbook is read as, by the name of the input.
+WORKBOOKS = {
+    "codes": lambda spark, path: workbook.code_lists(spark, path.split(",")),
+    "rates": lambda spark, path: lookup.rates(workbook.rate_list(spark, path)),
+    "reviewed": workbook.reviewed,
+}
+
+
+def read(spark: SparkSession, name: str, path: str) -> DataFrame:
+    if path.endswith(".xlsx"):
+        return WORKBOOKS[name](spark, path)
     return io.read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
 
 
@@ -85,7 +102,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if missing := [n for n in names if n not in paths]:
         p.error(f"{a.stage} needs --in {' '.join(f'{n}=path' for n in missing)}")
     spark = spark or SparkSession.builder.appName("gatework").getOrCreate()
-    tables = {n: read(spark, paths[n]) for n in names}
+    tables = {n: read(spark, n, paths[n]) for n in names}
     for n, t in tables.items():
         if a.year and "year" in t.columns:
             t = t.where(F.col("year").isin(*a.year))
