@@ -29,14 +29,14 @@ from gatework.llm.common import LOWER, UPPER, over_texts, slices, written
 LONGEST, LEAST, TOP = 5, 100, 2000
 BREAKS, SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Bytes of text whose n-grams are made at once, and bytes of text whose counters are sent together.
-SLICE_BYTES, SENT_BYTES = 4 << 20, 12 << 20
+SLICE_BYTES, SENT_BYTES = 2 << 20, 8 << 20
 #: Rows of the sketch, and bits of a shard's number of counters in each.
 ROWS, SHARD_BITS = 2, 19
 #: Bytes of text for each counter of a row (an n-gram ends every 1.7 bytes or so), the least and the most shards. Past the
 #: most, at some 8 GB of text, counters fill up: more rare n-grams reach the exact count, and none is lost.
 TEXT_PER_COUNTER, LEAST_SHARDS, SHARDS = 16, 128, 1024
 #: Bytes of phrases that a task holds before it adds them up, bytes of text for each bucket of phrases, and the most buckets.
-HELD_BYTES, TEXT_PER_BUCKET, BUCKETS = 48 << 20, 16 << 20, 1 << 14
+HELD_BYTES, TEXT_PER_BUCKET, BUCKETS = 24 << 20, 16 << 20, 1 << 14
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[list(UPPER.encode())] = list(LOWER.encode())
