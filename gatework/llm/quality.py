@@ -14,12 +14,14 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gatework.llm.common import over_texts, slices
 from gatework.llm.language import held_out
 
-#: Labelled rows that are learned from (in expectation), passes over them, hash buckets, and FTRL's parameters.
-SAMPLE, PASSES, BUCKETS = 8000, 3, 1 << 18
+#: Labelled rows that are learned from (in expectation), the bytes of text that they have together at most, passes over them,
+#: hash buckets, and FTRL's parameters.
+SAMPLE, SAMPLE_BYTES, PASSES, BUCKETS = 8000, 64 << 20, 3, 1 << 18
 RATE, BETA, L1, L2 = 0.2, 1.0, 0.3, 0.5
 CAPITALS = "↑"
 
@@ -93,14 +95,25 @@ def learn_batches(batches):
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(w[found])], ["bucket", "weight"])
 
 
-def trained(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> np.ndarray:
-    """Weights by bucket, the bias last, from at most some `sample` labelled rows where `train` (over doc_id) holds."""
+def within(rows: DataFrame, most: int) -> DataFrame:
+    """The rows (draw, doc_id, label, text) whose texts, in the order they are drawn, have `most` bytes together at most. What
+    bounds the fit's memory is decided on sizes, before any text is moved; longer texts than that aren't learned from."""
+    sizes = rows.select("draw", "doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).where(F.col("size") <= most)
+    upto = sizes.withColumn("upto", F.sum("size").over(Window.orderBy("draw", "doc_id", "label", "size")))  # of the sample, as many rows at any size
+    over = upto.where(F.col("upto") > most).agg(F.min("draw")).first()[0]
+    kept = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most)
+    return kept if over is None else kept.where(F.col("draw") < over)
+
+
+def trained(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> np.ndarray:
+    """Weights by bucket, the bias last, from at most some `sample` labelled rows where `train` (over doc_id) holds, which have
+    `most` bytes of text at most."""
     labelled = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where("doc_id is not null and label in (0, 1)").where(train)
     size = labelled.count()
     draw = F.crc32(F.concat(F.lit("draw"), F.col("doc_id").cast("string")).cast("binary"))
     drawn = labelled.withColumn("draw", draw).where(F.col("draw") < sample / max(size, 1) * (1 << 32))
     rows = docs.select("doc_id", "text").join(drawn, "doc_id").select(F.col("draw"), F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
-    sparse = over_texts(rows, feature_batches, "draw long, doc_id long, label double, bucket array<int>, value array<float>")
+    sparse = over_texts(within(rows, most), feature_batches, "draw long, doc_id long, label double, bucket array<int>, value array<float>")
     one = sparse.repartition(1).sortWithinPartitions("draw", "doc_id", "label")  # `sample` rows, whatever the input's size
     found = one.mapInArrow(learn_batches, "bucket long, weight double").toArrow()
     out = np.zeros(BUCKETS + 1)
@@ -125,7 +138,8 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learned from labels whose crc32 remainder by 3 is not 1.
 
     Labels that are null or neither 0 nor 1 are not learned from; without any, every score is 0.5. Rows with a null id
-    are scored, not learned from. Repeated rows count each. Extra columns are ignored.
+    are scored, not learned from. Repeated rows count each. Very long texts are scored whole; they are learned from while the
+    sample's texts stay within SAMPLE_BYTES. An empty table gives an empty result. Extra columns are ignored.
     """
     out = held_out(F.col("doc_id"), 3, 1)
     return scored(docs, trained(docs, labels, ~out)).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

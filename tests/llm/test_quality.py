@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pyarrow as pa
 
-from gatework.llm.quality import BETA, BUCKETS, L1, L2, PASSES, RATE, features, learn_batches, quality_report
+from gatework.llm.quality import BETA, BUCKETS, L1, L2, PASSES, RATE, features, learn_batches, quality_report, trained, within
 from tests.llm.helpers import ODD, frame, remainder
 
 
@@ -65,3 +65,20 @@ def test_updates_against_plain_ftrl():
 def test_features_have_unit_length():
     text, _, value = features(pa.array(["A small TEXT, a small text.", None, "", "x"]))
     assert np.allclose(np.bincount(text, value * value, 4), [1, 0, 0, 1])
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = [(10, 1, 1.0, "a" * 40), (20, 2, 0.0, None), (30, 3, 1.0, "é" * 30), (40, 4, 1.0, "x" * 500), (50, 5, 0.0, "b" * 10), (60, 6, 0.0, "c")]
+    df = spark.createDataFrame(rows, "draw long, doc_id long, label double, text string")
+    ids = lambda most: sorted(r.doc_id for r in within(df, most).collect())
+    assert ids(1000) == [1, 2, 3, 4, 5, 6] and ids(111) == [1, 2, 3, 5, 6] and ids(105) == [1, 2, 3] and ids(99) == [1, 2] and ids(1) == [2, 6] and ids(0) == [2]
+
+
+def test_long_texts_are_learned_from_within_the_bound(spark):
+    """Many long texts: the fit takes what the bound allows, and knows the two kinds apart."""
+    rows = [(i, ("good fine " if i % 2 else "BAD worse!! ") * 2000, "en", "a", 1) for i in range(400)]
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    weights = trained(frame(spark, rows), labels, F.lit(True), most=1 << 20)
+    assert np.count_nonzero(weights) > 2
