@@ -31,8 +31,9 @@ from gatework.llm.language import held_out
 MU = 100.0
 #: Bytes of text in a block.
 BLOCK_BYTES = 14 << 20
-#: Partitions for each block, so that few blocks share one.
-SPREAD = 3
+#: Partitions for each block, so that few blocks share one, and the most partitions: past these a task has several blocks,
+#: one after another.
+SPREAD, PARTITIONS = 3, 30_000
 #: Bits of FAN, the number of ranges that n-grams are cut into and of questions that are merged at each level.
 FAN_BITS = 7
 END_HASH = np.uint64(0x656E64206F662074)
@@ -42,6 +43,10 @@ ASKED = "range long, parent long, child long, kind int, n int, hashes binary, co
 ANSWERED = "upper long, child long, range long, kind int, counts binary, tokens long, seen long"
 
 
+def partitions(blocks: int) -> int:
+    return min(SPREAD * blocks, PARTITIONS)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Little-endian bytes, all first bytes before all second ones, which compress well where values are small."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
@@ -272,7 +277,7 @@ def score_texts(docs: DataFrame, held: Column, mu: float = MU, blocks: int | Non
     blocks = blocks or pieces_of(docs, "text", BLOCK_BYTES)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
     salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id may be many and equal
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(blocks))).repartition(SPREAD * blocks, "block")
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(blocks))).repartition(partitions(blocks), "block")
     levels = [dealt.groupBy("block").applyInArrow(lambda rows: asked(rows, bits), ASKED)]
     merge = lambda level: lambda rows: passed_on(rows, level, bits)
     while blocks > 1 << bits * len(levels):

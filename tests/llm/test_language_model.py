@@ -98,3 +98,9 @@ def test_counts_beyond_32_bits_and_messages_of_a_block():
         answers = passed_back(table_of(rows, ASKED), type(table_of([], ASKED)).from_pylist(mine), bits)
         assert collected(answers, 0).tolist() == [2**33 + 7 + 2**40] * 2 * len({q[2] for q in rows})
         assert {(a["tokens"], a["seen"]) for a in answers.to_pylist() if a["kind"] == 0} == {(2 * (2**33 + 7 + 2**40), 2)}
+
+
+def test_partitions_are_bounded():
+    from gatework.llm.language_model import PARTITIONS, partitions
+
+    assert partitions(5) == 15 and partitions(100_000) == partitions(10_000_000) == PARTITIONS
