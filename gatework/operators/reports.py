@@ -73,7 +73,7 @@ def sector_years(flagged: DataFrame) -> DataFrame:
 def sector_stability(flagged: DataFrame, years: list[str]) -> DataFrame:
     """A row for each sector: mean rank (of years with data) and rate (of all years), consistency, rates and ranks by year,
     and rho of the ranks against time as 1 - 6 sum d^2 / (n (n^2 - 1)) on the ranks as they are (rho_raw), and rho, the
-    correlation with ranks among the sector's own years."""
+    correlation with ranks among the sector's own years (null if all are equal)."""
     s = sector_years(flagged).where(F.col("year").isin(*years))
     time = F.row_number().over(Window.partitionBy("sector").orderBy("year"))
     s = s.withColumn("t", time).withColumn("own", F.rank().over(Window.partitionBy("sector").orderBy("rank")).cast("double"))
@@ -81,7 +81,7 @@ def sector_stability(flagged: DataFrame, years: list[str]) -> DataFrame:
     at = lambda c, y: F.max(F.when(F.col("year") == y, F.col(c)))
     out = s.groupBy("sector").agg(
         F.avg("rank").alias("mean_rank"), (F.sum("rate") / len(years)).alias("mean_rate"), rank_consistency(F.max("rank") - F.min("rank")).alias("consistency"),
-        F.when(n >= 3, 1.0 - 6.0 * d2 / (n * (n * n - 1))).alias("rho_raw"), F.when(n >= 3, F.corr("own", "t")).alias("rho"),
+        F.when(n >= 3, 1.0 - 6.0 * d2 / (n * (n * n - 1))).alias("rho_raw"), F.when((n >= 3) & (F.max("own") > F.min("own")), F.corr("own", "t")).alias("rho"),
         *[F.coalesce(at("rate", y), F.lit(0.0)).alias(f"rate_{y}") for y in years], *[at("rank", y).alias(f"rank_{y}") for y in years],
     )
     return out.orderBy("mean_rank", "sector")

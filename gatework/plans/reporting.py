@@ -84,7 +84,7 @@ QUERIES = {
     "q_r2_flag_prevalence": lambda s, d: reports.flag_prevalence(*both(s, d)),
     "q_r3_tiers": lambda s, d: reports.tier_distribution(triaged(s, d), YEARS),
     "q_r4_persistent": lambda s, d: rounded(reports.persistent_entities(flagged(s, d))),
-    "q_r5_stability": lambda s, d: rounded(reports.sector_stability(*both(s, d)).drop("rho")),
+    "q_r5_stability": lambda s, d: rounded(reports.sector_stability(*both(s, d))),
     "q_r5b_flows": lambda s, d: rounded(reports.sector_flows(real_contradictions(s, d), flagged(s, d))),
     "q_r6_states": lambda s, d: rounded(reports.state_patterns(*both(s, d))),
     "q_r7_materiality_grid": lambda s, d: rounded(reports.materiality_grid(material(s, d), YEARS)),
@@ -119,9 +119,9 @@ FROM c JOIN z ON c.ein = z.ein ORDER BY years_flagged DESC, total_flags DESC, c.
         "records", "codes", "rates",
     ),
     "q_r5_stability": with_sources(
-        f"""WITH {q.FLAGGED}, {SY}, k AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY year) AS t FROM sr WHERE year IN {q.listed(YEARS)})
+        f"""WITH {q.FLAGGED}, {SY}, k AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY year) AS t, rank() OVER (PARTITION BY sector ORDER BY rank) AS own FROM sr WHERE year IN {q.listed(YEARS)})
 SELECT sector, round(avg(rank), 9) AS mean_rank, round(sum(rate) / {len(YEARS)}, 9) AS mean_rate, CASE WHEN max(rank) - min(rank) <= 2 THEN 'Very Stable' WHEN max(rank) - min(rank) <= 5 THEN 'Stable' WHEN max(rank) - min(rank) <= 10 THEN 'Moderate' ELSE 'Volatile' END AS consistency,
- CASE WHEN count(*) >= 3 THEN round(1.0::DOUBLE - 6.0::DOUBLE * sum((rank - t) * (rank - t))::DOUBLE / (count(*) * (count(*) * count(*) - 1)), 9) END AS rho_raw, {PER(f"coalesce(round(max(rate) FILTER (year = '{y}'), 9), 0) AS rate_{y}, max(rank) FILTER (year = '{y}') AS rank_{y}" for y in YEARS)} FROM k GROUP BY 1""",
+ CASE WHEN count(*) >= 3 THEN round(1.0::DOUBLE - 6.0::DOUBLE * sum((rank - t) * (rank - t))::DOUBLE / (count(*) * (count(*) * count(*) - 1)), 9) END AS rho_raw, CASE WHEN count(*) >= 3 AND max(own) > min(own) THEN round(corr(own, t), 9) END AS rho, {PER(f"coalesce(round(max(rate) FILTER (year = '{y}'), 9), 0) AS rate_{y}, max(rank) FILTER (year = '{y}') AS rank_{y}" for y in YEARS)} FROM k GROUP BY 1""",
         "records", "codes", "rates",
     ),
     "q_r5b_flows": with_sources(
