@@ -11,6 +11,7 @@ from gatework.plans import sqltext as q
 from gatework.plans.derived import derived, with_sources
 from gatework.plans.gating import codes
 from gatework.plans.reporting import rounded
+from gatework.sources.io import durable
 
 
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +30,7 @@ def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def keep(df: DataFrame, what: str) -> DataFrame:
-        path = shared(spark, what)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return persistence.persistence_summary(combined(spark, sf_dir), shifts(spark, sf_dir), keep=keep)
+    return persistence.persistence_summary(combined(spark, sf_dir), shifts(spark, sf_dir), keep=durable)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
