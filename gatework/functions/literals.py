@@ -54,4 +54,4 @@ def required(pattern: str | None) -> list[str]:
         return []
 
 
-required_literals = F.udf(required, ArrayType(StringType()))
+required_literals = F.udf(lambda pattern: required(pattern), ArrayType(StringType()))
