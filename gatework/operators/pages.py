@@ -141,22 +141,31 @@ def tag_content(page: Column, pattern: str) -> Column:
     return filled(strip(F.regexp_extract(page, pattern, 1)))
 
 
-def html_text(page: Column) -> Column:
-    """Description, title, og:description and body text, without eight kinds of elements, white space collapsed and
-    character references decoded."""
+def raw_text(page: Column) -> Column:
+    """Description, title, og:description and body text, without eight kinds of elements."""
     body = F.regexp_replace(page, r"(?is)<!--.*?-->", " ")
     title = tag_content(body, r"(?is)<title[^>]*>(.*?)</title\s*>")
     meta, og = meta_content(body, "name", "description"), meta_content(body, "property", "og:description")
     for tag in ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"):
         body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     inner = filled(strip(F.regexp_replace(F.regexp_extract(body, r"(?is)<body[^>]*>(.*?)(?:</body\s*>|$)", 1), r"(?s)<[^>]*>", " ")))
-    return strip(F.regexp_replace(unescaped(F.concat_ws(" ", meta, title, og, inner)), r"(?U)\s+", " "))
+    return F.concat_ws(" ", meta, title, og, inner)
+
+
+def decoded(text: Column) -> Column:
+    """White space collapsed and character references decoded; a text without any doesn't leave the JVM."""
+    return strip(F.regexp_replace(F.coalesce(unescaped(F.when(text.contains("&"), text)), text), r"(?U)\s+", " "))
+
+
+def html_text(page: Column) -> Column:
+    return decoded(raw_text(page))
 
 
 def scraped(pages: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """pages (key, url, html) with text, up to the cap, and failed, if it is shorter than the least."""
-    text = F.substring(html_text(F.col("html")), 1, cfg.text_cap)
-    return pages.withColumn("text", text).withColumn("failed", F.length(strip(F.coalesce("text", F.lit("")))) < cfg.text_least).drop("html")
+    df = pages.withColumn("raw_text_", raw_text(F.col("html")))
+    text = F.substring(decoded(F.col("raw_text_")), 1, cfg.text_cap)
+    return df.withColumn("text", text).drop("raw_text_").withColumn("failed", F.length(strip(F.coalesce("text", F.lit("")))) < cfg.text_least).drop("html")
 
 
 def absolute(href: Column, base: Column) -> Column:
