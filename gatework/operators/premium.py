@@ -16,6 +16,12 @@ def rate_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(fixed.PREMIUM_RATES, "sector string, class_code string, rate double, desc string")
 
 
+def mapped(records: DataFrame, rates: DataFrame) -> DataFrame:
+    """Each sector's class and rate, and how many records report a code of it."""
+    n = records.groupBy(prefix(strip(F.col("naics_code")), 2).alias("sector")).agg(F.count("*").alias("n_records"))
+    return rates.join(n, "sector", "left").withColumn("n_records", F.coalesce("n_records", F.lit(0).cast("long")))
+
+
 def scored(records: DataFrame, suggestions: DataFrame, rates: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Records (id, naics_code, annual_average_employees, state, ein) whose suggestion (id, suggested_naics, state) is a
     code of five or six digits that differs: sectors, rates, rate_delta, direction, employees, estimated_annual_loss. The

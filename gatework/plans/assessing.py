@@ -91,7 +91,7 @@ SELECT n, round(list_sum(v) / n, 9) AS mean, round((v[(n - 1) // 2 + 1] + v[n //
     ),
     "q_nuggets": with_sources(f"WITH {q.SCORED}, {q.CONTRADICTED} SELECT id, round(score_gap, 9) AS score_gap FROM contradicted WHERE outcome = 'contradiction' AND round(score_gap, 9) >= 0.10 ORDER BY 2 DESC, id LIMIT 40", "results", "codes"),
     "q_token_overlap": with_sources(
-        f"WITH t AS (SELECT DISTINCT industry_description FROM records), u AS (SELECT industry_description, {q.tokens('industry_description')} AS tk, {q.tokens(chr(39) + 'hospital and nursing services, trucking of lumber' + chr(39))} AS other FROM t) SELECT industry_description, array_to_string(tk, ' ') AS tokens, round(CASE WHEN len(tk) > 0 THEN len(list_intersect(tk, other)) / len(tk)::DOUBLE ELSE 0 END, 9) AS score FROM u",
+        f"WITH t AS (SELECT DISTINCT industry_description FROM records), u AS (SELECT industry_description, {q.tokens('industry_description')} AS tk, {q.tokens(q.quoted('hospital and nursing services, trucking of lumber'))} AS other FROM t) SELECT industry_description, array_to_string(tk, ' ') AS tokens, round(CASE WHEN len(tk) > 0 THEN len(list_intersect(tk, other)) / len(tk)::DOUBLE ELSE 0 END, 9) AS score FROM u",
         "records",
     ),
     "q_consistent_companies": with_sources(f"WITH {q.CONSISTENT} SELECT * FROM consistent", "results"),
@@ -108,7 +108,7 @@ SELECT CASE WHEN match_status = 'CORRECTED' THEN 'CORRECTED (keyword rule)' WHEN
     "q_batch_qa": with_sources(f"WITH {q.VALID}, batch AS (SELECT * FROM results), {QUALITY}", "results", "codes"),
     "q_batch_qa_latest": with_sources(f"WITH {q.VALID}, batch AS (SELECT * FROM results ORDER BY ord DESC LIMIT 500), {QUALITY}", "results", "codes"),
     "q_sectors": with_sources(
-        f"SELECT substring(naics_code, 1, 2) AS sector, count(*) AS n, {q.canonical('min(naics_code)')} AS canonical, CASE substring(min(naics_code), 1, 2) {' '.join(f'WHEN {chr(39)}{s}{chr(39)} THEN {chr(39)}{n}{chr(39)}' for s, n in q.fixed.SECTOR_NAMES.items())} ELSE 'Sector ' || substring(min(naics_code), 1, 2) END AS name FROM records GROUP BY 1",
+        f"SELECT substring(naics_code, 1, 2) AS sector, count(*) AS n, {q.canonical('min(naics_code)')} AS canonical, CASE substring(min(naics_code), 1, 2) {' '.join(f'WHEN {q.quoted(s)} THEN {q.quoted(n)}' for s, n in q.fixed.SECTOR_NAMES.items())} ELSE 'Sector ' || substring(min(naics_code), 1, 2) END AS name FROM records GROUP BY 1",
         "records",
     ),
 }

@@ -101,12 +101,12 @@ QUERIES = {
 ORACLES = {
     "q_r1_overview": with_sources(f"WITH {FULL}, {OVERVIEW} SELECT * FROM o", *ALL),
     "q_r2_flag_prevalence": with_sources(
-        f"WITH {q.FLAGGED}, l AS ({' UNION ALL '.join(f'SELECT {chr(39)}{label}{chr(39)} AS flag_name, year, {c} AS v FROM flagged' for c, label in fixed.FLAGS.items())}), "
-        f"w AS (SELECT flag_name, {PER(f'sum(v) FILTER (year = {chr(39)}{y}{chr(39)})::BIGINT AS count_{y}' for y in YEARS)} FROM l GROUP BY 1) SELECT *, {TREND.replace('{a}', half_mean('count_', YEARS[:HALF])).replace('{b}', half_mean('count_', YEARS[HALF:]))} AS trend_direction FROM w",
+        f"WITH {q.FLAGGED}, l AS ({' UNION ALL '.join(f'SELECT {q.quoted(label)} AS flag_name, year, {c} AS v FROM flagged' for c, label in fixed.FLAGS.items())}), "
+        f"w AS (SELECT flag_name, {PER(f'sum(v) FILTER (year = {q.quoted(y)})::BIGINT AS count_{y}' for y in YEARS)} FROM l GROUP BY 1) SELECT *, {TREND.replace('{a}', half_mean('count_', YEARS[:HALF])).replace('{b}', half_mean('count_', YEARS[HALF:]))} AS trend_direction FROM w",
         "records", "codes", "rates",
     ),
     "q_r3_tiers": with_sources(
-        f"WITH {q.SCORED}, {q.TRIAGED} SELECT triage_tier AS tier, CASE triage_tier {' '.join(f'WHEN {chr(39)}{t}{chr(39)} THEN {chr(39)}{n}{chr(39)}' for t, n in fixed.TIER_NOTES.items())} ELSE '' END AS description, {PER(f'count(*) FILTER (year = {chr(39)}{y}{chr(39)}) AS count_{y}' for y in YEARS)} FROM triaged GROUP BY 1",
+        f"WITH {q.SCORED}, {q.TRIAGED} SELECT triage_tier AS tier, CASE triage_tier {' '.join(f'WHEN {q.quoted(t)} THEN {q.quoted(n)}' for t, n in fixed.TIER_NOTES.items())} ELSE '' END AS description, {PER(f'count(*) FILTER (year = {q.quoted(y)}) AS count_{y}' for y in YEARS)} FROM triaged GROUP BY 1",
         "results", "codes",
     ),
     "q_r4_persistent": with_sources(
@@ -138,7 +138,7 @@ SELECT state, {PER(f'total_{y}, flagged_{y}, round(r_{y}, 9) AS rate_{y}' for y
         "records", "codes", "rates",
     ),
     "q_r7_materiality_grid": with_sources(
-        f"WITH {q.MATERIAL}, g AS (SELECT * FROM (VALUES {PER(f'({chr(39)}{y}{chr(39)})' for y in YEARS)}) AS y(year), (VALUES {PER(f'({chr(39)}{c}{chr(39)})' for c in fixed.MATERIALITY)}) AS c(materiality_class)), n AS (SELECT year, materiality_class, count(*) AS n FROM material GROUP BY 1, 2), j AS (SELECT g.*, coalesce(n, 0) AS count FROM g LEFT JOIN n USING (year, materiality_class)) SELECT *, round(CASE WHEN sum(count) OVER (PARTITION BY year) > 0 THEN count / (sum(count) OVER (PARTITION BY year))::DOUBLE ELSE 0 END, 9) AS pct FROM j",
+        f"WITH {q.MATERIAL}, g AS (SELECT * FROM (VALUES {PER(f'({q.quoted(y)})' for y in YEARS)}) AS y(year), (VALUES {PER(f'({q.quoted(c)})' for c in fixed.MATERIALITY)}) AS c(materiality_class)), n AS (SELECT year, materiality_class, count(*) AS n FROM material GROUP BY 1, 2), j AS (SELECT g.*, coalesce(n, 0) AS count FROM g LEFT JOIN n USING (year, materiality_class)) SELECT *, round(CASE WHEN sum(count) OVER (PARTITION BY year) > 0 THEN count / (sum(count) OVER (PARTITION BY year))::DOUBLE ELSE 0 END, 9) AS pct FROM j",
         "results", "codes", "rates",
     ),
     "q_r8_sector_pairs": with_sources(f"WITH {q.SCORED}, {q.CONTRADICTED}, p AS (SELECT {A} AS reported_sector, {B} AS suggested_sector FROM contradicted WHERE outcome = 'contradiction') SELECT reported_sector, suggested_sector, count(*) AS count FROM p WHERE reported_sector <> suggested_sector GROUP BY 1, 2", "results", "codes"),
@@ -153,7 +153,7 @@ SELECT *, {PER(f"round(CASE WHEN total_{y} > 0 THEN flagged_{y} / total_{y}::DOU
         "records", "codes", "rates",
     ),
     "q_r11_trends": with_sources(
-        f"WITH {q.FLAGGED}, {SY}, w AS (SELECT sector, {PER(f'coalesce(max(rate) FILTER (year = {chr(39)}{y}{chr(39)}), 0) AS r_{y}' for y in YEARS)} FROM sr GROUP BY 1) SELECT sector, {PER(f'round(r_{y}, 9) AS rate_{y}' for y in YEARS)}, round(({' + '.join(f'r_{y}' for y in YEARS)}) / {len(YEARS)}, 9) AS mean_rate, {TREND.replace('{a}', half_mean('r_', YEARS[:HALF])).replace('{b}', half_mean('r_', YEARS[HALF:]))} AS direction FROM w",
+        f"WITH {q.FLAGGED}, {SY}, w AS (SELECT sector, {PER(f'coalesce(max(rate) FILTER (year = {q.quoted(y)}), 0) AS r_{y}' for y in YEARS)} FROM sr GROUP BY 1) SELECT sector, {PER(f'round(r_{y}, 9) AS rate_{y}' for y in YEARS)}, round(({' + '.join(f'r_{y}' for y in YEARS)}) / {len(YEARS)}, 9) AS mean_rate, {TREND.replace('{a}', half_mean('r_', YEARS[:HALF])).replace('{b}', half_mean('r_', YEARS[HALF:]))} AS direction FROM w",
         "records", "codes", "rates",
     ),
     "q_allocation": f"WITH {ALLOT} SELECT * FROM allot",

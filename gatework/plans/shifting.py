@@ -65,7 +65,7 @@ QUERIES = {
     "q_chronic_down": lambda s, d: persistence.chronic_downshifters(shifts(s, d)),
     "q_persistent_placeholder": lambda s, d: persistence.placeholder_reporters(combined(s, d)),
     "q_persistence_summary": summary,
-    "q_premium_mapping": lambda s, d: premium.rate_table(s),
+    "q_premium_mapping": lambda s, d: premium.mapped(derived(s, d, "records"), premium.rate_table(s)),
     "q_premium_delta": lambda s, d: premium.deltas(scored(s, d)).withColumn("rate_delta", F.round("rate_delta", 4)),
     "q_premium_top50": lambda s, d: rounded(premium.top_losses(scored(s, d)).select("id", "reported_sector", "suggested_sector", "employees", "estimated_annual_loss"), 4),
     "q_premium_summary": lambda s, d: rounded(premium.premium_summary(scored(s, d), derived(s, d, "records").count()), 4),
@@ -88,7 +88,11 @@ UNION ALL SELECT 'establishments_999999_multi_year', count(DISTINCT establishmen
 UNION ALL SELECT 'total_downward_shifts', count(*) FROM shifts WHERE shift_type <> 'STABLE' AND direction = 'DOWNWARD_SHIFT' UNION ALL SELECT 'chronic_downshifter_eins', count(*) FROM chronic UNION ALL SELECT 'establishments_in_all_years', count(*) FROM e WHERE y = 4 UNION ALL SELECT 'establishments_in_2plus_years', count(*) FROM e WHERE y >= 2""",
         "records", "codes", "rates",
     ),
-    "q_premium_mapping": f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{s}{chr(39)}, {chr(39)}{c}{chr(39)}, {r}::DOUBLE, {chr(39)}{d}{chr(39)})' for s, c, r, d in fixed.PREMIUM_RATES)}) AS t(sector, class_code, rate, \"desc\")",
+    "q_premium_mapping": with_sources(
+        f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f'({q.quoted(s)}, {q.quoted(c)}, {r}::DOUBLE, {q.quoted(d)})' for s, c, r, d in fixed.PREMIUM_RATES)}) AS t(sector, class_code, rate, "desc"))
+SELECT t.*, (SELECT count(*) FROM records WHERE substring(trim(naics_code), 1, 2) = t.sector) AS n_records FROM t""",
+        "records",
+    ),
     "q_premium_delta": with_sources(
         f"WITH {PREMIUM} SELECT reported_sector, suggested_sector, min(reported_desc) AS reported_desc, min(suggested_desc) AS suggested_desc, min(reported_rate) AS reported_rate, min(suggested_rate) AS suggested_rate, round(min(rate_delta), 4) AS rate_delta, min(direction) AS direction, count(*) AS n_establishments, sum(employees) AS total_employees, coalesce(sum(estimated_annual_loss::DECIMAL(20, 4))::DOUBLE, 0) AS total_annual_loss, coalesce(sum(estimated_annual_loss::DECIMAL(20, 4))::DOUBLE, 0) / count(*) AS avg_loss_per_establishment FROM scored GROUP BY 1, 2",
         "records", "results",
