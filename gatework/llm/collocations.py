@@ -307,7 +307,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     read whole, in parts cut where no phrase can cross. Ties of score go by a, then by the phrase's bytes. An empty table
     gives an empty result. Extra columns are ignored, whatever their names.
     """
-    candidates = written(scored(frequent(docs, text_col, lang_col, longest, least)), "candidates")
+    candidates = written(scored(frequent(docs, text_col, lang_col, longest, least)), "collocations")
     kept = candidates.join(subsumed(candidates), ["lang", "phrase"], "left_anti")
     order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
     # the best of each of 256 parts first, so that a language's window has 256 * top rows at most
