@@ -77,11 +77,13 @@ def sector_stability(flagged: DataFrame, years: list[str]) -> DataFrame:
     s = sector_years(flagged).where(F.col("year").isin(*years))
     time = F.row_number().over(Window.partitionBy("sector").orderBy("year"))
     s = s.withColumn("t", time).withColumn("own", F.rank().over(Window.partitionBy("sector").orderBy("rank")).cast("double"))
+    # corr itself divides by the deviations before any condition on it: where all ranks are equal it gets nulls only
+    s = s.withColumn("own", F.when(F.max("own").over(Window.partitionBy("sector")) > 1, F.col("own")))
     n, d2 = F.count("*"), F.sum((F.col("rank") - F.col("t")) * (F.col("rank") - F.col("t")))
     at = lambda c, y: F.max(F.when(F.col("year") == y, F.col(c)))
     out = s.groupBy("sector").agg(
         F.avg("rank").alias("mean_rank"), (F.sum("rate") / len(years)).alias("mean_rate"), rank_consistency(F.max("rank") - F.min("rank")).alias("consistency"),
-        F.when(n >= 3, 1.0 - 6.0 * d2 / (n * (n * n - 1))).alias("rho_raw"), F.when((n >= 3) & (F.max("own") > F.min("own")), F.corr("own", "t")).alias("rho"),
+        F.when(n >= 3, 1.0 - 6.0 * d2 / (n * (n * n - 1))).alias("rho_raw"), F.when(n >= 3, F.corr("own", "t")).alias("rho"),
         *[F.coalesce(at("rate", y), F.lit(0.0)).alias(f"rate_{y}") for y in years], *[at("rank", y).alias(f"rank_{y}") for y in years],
     )
     return out.orderBy("mean_rank", "sector")

@@ -249,3 +249,16 @@ def test_rank_correlation_on_raw_ranks(spark):
     df = spark.createDataFrame(rows, "year string, naics_code string, n_flags int")
     got = {r.sector: r for r in reports.sector_stability(df, list("abcd")).collect()}
     assert got["Agriculture"].rho_raw == pytest.approx(-0.5) and got["Agriculture"].mean_rank == 1.25
+
+
+def test_rank_correlation_of_constant_and_few_ranks(spark):
+    """A sector that keeps its rank in all years has no correlation, nor one of fewer than three years."""
+    rates = {"11": {"a": 9, "b": 9, "c": 9, "d": 9}, "21": {"a": 5, "b": 1, "c": 5, "d": 1}, "22": {"a": 3, "b": 3, "c": 3, "d": 3}, "23": {"b": 2}, "61": {"c": 1, "d": 2}}
+    df = spark.createDataFrame([(y, c, n) for c, by in rates.items() for y, n in by.items()], "year string, naics_code string, n_flags int")
+    got = {r.sector: r for r in reports.sector_stability(df, list("abcd")).collect()}
+    same = got["Agriculture"]
+    assert (same.rank_a, same.rank_b, same.rank_c, same.rank_d, same.rho) == (1, 1, 1, 1, None) and same.rho_raw == pytest.approx(1 - 6 * 14 / 60)
+    few = [r for r in got.values() if r.rank_a is None]
+    assert len(got) == 5 and len(few) == 2 and all(r.rho is None and r.rho_raw is None for r in few)
+    # ranks 2, 4, 2, 4 are 1, 3, 1, 3 among themselves
+    assert got["Mining"].rank_b == got["Mining"].rank_d == 4 and got["Mining"].rho == pytest.approx(2 / 20**0.5)
